@@ -12,15 +12,17 @@ deepest cascade (<= max_steps), not articles x depth.
   reaches its threshold, drawn from a hash keyed by (seed, v) -- the same
   threshold for every article, as when a simulator is reseeded per article.
 
-State per round: the new frontier is checkpointed hash-partitioned by
-(article_id, node_id); the "already active" test is a chain of anti joins
-against those co-partitioned frontiers, so only new candidates are shuffled.
+State: one table per round (the round's new activations), written once; a
+round's work is proportional to its frontier and candidates, plus a scan (not
+a shuffle) of the earlier rounds when the candidates are small enough for AQE
+to broadcast.  The loop's only driver value is the new-frontier size.
 """
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.hashing import md5_u32, md5_unit, mix_unit
@@ -135,42 +137,93 @@ def _partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def _frontier_loop(spark: SparkSession, seeds: DataFrame, step_fn, max_steps: int) -> DataFrame:
-    """Run ``step_fn(frontier, done_frontiers, t) -> candidates(article_id, node_id)``
-    until no article activates anything new; return (article_id, node_id, step)."""
-    n = _partitions(spark)
-    f0 = cut_lineage(seeds.select(*KEY).distinct().repartition(n, *KEY))
-    frontiers = [f0]
-    f = f0
-    for t in range(1, max_steps + 1):
-        cand = step_fn(f, frontiers, t).select(*KEY).distinct()
-        for prev in frontiers:
-            cand = cand.join(prev, KEY, "left_anti")
-        f = cut_lineage(cand.repartition(n, *KEY))
-        if f.isEmpty():
-            break
-        frontiers.append(f)
-    out = None
-    for step, fr in enumerate(frontiers):
-        part = fr.withColumn("step", F.lit(step))
-        out = part if out is None else out.unionByName(part)
-    return out
+def _counted_checkpoint(df: DataFrame) -> tuple[DataFrame, int]:
+    """Checkpoint ``df`` and return its row count, observed during the same job."""
+    obs = Observation()
+    ck = cut_lineage(df.observe(obs, F.count(F.lit(1)).alias("n")))
+    return ck, int(obs.get["n"])
+
+
+def _small_enough_to_broadcast(df: DataFrame, n_rows: int, row_bytes: int = 48) -> bool:
+    """Size check behind every explicit broadcast: estimated bytes under the
+    session's broadcast threshold."""
+    limit = str(df.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold", "10485760")).lower()
+    try:
+        limit_b = int(limit.rstrip("b"))
+    except ValueError:
+        limit_b = 10485760
+    return limit_b > 0 and n_rows * row_bytes < limit_b
+
+
+def _loop_input(spark: SparkSession, df: DataFrame, key: str) -> DataFrame:
+    """Materialise a loop-invariant table once; broadcast it in the per-round
+    join only when its measured size is under the threshold."""
+    e, n_rows = _counted_checkpoint(df.repartition(_partitions(spark), key))
+    return F.broadcast(e) if _small_enough_to_broadcast(e, n_rows) else e
+
+
+class _Frontiers:
+    """Activation state kept as one table per round, each written once.
+
+    A round's frontier is checkpointed to the reliable folder (each activation
+    is written exactly once over the whole run) and cached for the scans of
+    later rounds.  Testing candidates against the state runs as
+    ``state LEFT SEMI candidates``: when the candidates are small, AQE
+    broadcasts them and the state is only scanned, never shuffled; when they
+    are large it falls back to a shuffle join.
+    """
+
+    def __init__(self):
+        self.parts: list[DataFrame] = []
+
+    def add(self, df: DataFrame) -> int:
+        ck, n = _counted_checkpoint(df)
+        self.parts.append(ck.persist(StorageLevel.MEMORY_AND_DISK))
+        return n
+
+    def state(self) -> DataFrame:
+        out = None
+        for step, fr in enumerate(self.parts):
+            part = fr.select(*KEY, F.lit(step).alias("step"))
+            out = part if out is None else out.unionByName(part)
+        return out
+
+    def new_only(self, cand: DataFrame) -> DataFrame:
+        """Candidates (deduplicated on the key) that are not active yet.  The
+        candidates are materialised once, since both joins read them."""
+        cand = cut_lineage(cand)
+        keys = cand.select(*KEY)
+        seen = self.state().select(*KEY).join(keys, KEY, "left_semi")
+        return cand.join(seen, KEY, "left_anti")
+
+    def finish(self) -> DataFrame:
+        final = cut_lineage(self.state())
+        for p in self.parts:
+            p.unpersist()
+        return final
 
 
 def icm_activation(spark: SparkSession, edges: DataFrame, seeds: DataFrame, p: float = 0.1,
                    max_steps: int = 50, seed: int = 42, direction: str = "out") -> DataFrame:
     """Independent-cascade reach for every article: (article_id, node_id, step)."""
-    e = _oriented(edges, direction)
-    e = e.select("src", "dst", md5_u32(F.lit(seed), F.col("src"), F.col("dst")).alias("edge_salt"))
-    salts = (seeds.select("article_id").distinct()
-             .select("article_id", md5_u32(F.lit(seed), F.col("article_id")).alias("article_salt")))
-
-    def step(f, _done, _t):
-        cand = (f.join(salts, "article_id").join(e, f["node_id"] == e["src"])
-                .where(mix_unit(F.col("article_salt"), F.col("edge_salt")) < F.lit(p)))
-        return cand.select("article_id", F.col("dst").alias("node_id"))
-
-    return _frontier_loop(spark, seeds, step, max_steps)
+    e = _loop_input(spark, _oriented(edges, direction)
+                    .select("src", "dst", md5_u32(F.lit(seed), F.col("src"), F.col("dst")).alias("edge_salt")), "src")
+    fr = _Frontiers()
+    frontier = seeds.select(*KEY).distinct().select(
+        *KEY, md5_u32(F.lit(seed), F.col("article_id")).alias("article_salt"))
+    n_new = fr.add(frontier)
+    for _t in range(1, max_steps + 1):
+        if n_new == 0:
+            break
+        frontier = fr.parts[-1]
+        cand = (frontier.join(e, frontier["node_id"] == e["src"])
+                .where(mix_unit(F.col("article_salt"), F.col("edge_salt")) < F.lit(p))
+                .select("article_id", F.col("dst").alias("node_id"), "article_salt")
+                .dropDuplicates(KEY))
+        n_new = fr.add(fr.new_only(cand))
+    if n_new == 0:
+        fr.parts.pop()
+    return fr.finish()
 
 
 def lt_thresholds(nodes: DataFrame, distribution: str = "uniform", seed: int = 42) -> DataFrame:
@@ -196,28 +249,42 @@ def lt_activation(spark: SparkSession, edges: DataFrame, nodes: DataFrame, seeds
     """Linear-threshold reach for every article: (article_id, node_id, step).
 
     Influence of each active in-neighbour is 1 / in-degree; a node activates when
-    the count of active in-neighbours reaches threshold * in-degree.  The count
-    is accumulated incrementally from each round's frontier.
+    (active in-neighbours / in-degree) reaches its threshold.  Only nodes that
+    receive influence in a round can cross their threshold in that round, so a
+    round sums the per-round contribution tables for those candidates only.
     """
-    e = _oriented(edges, direction)
-    indeg = e.groupBy(F.col("dst").alias("node_id")).agg(F.count(F.lit(1)).alias("indeg"))
+    oriented = _oriented(edges, direction)
+    indeg = oriented.groupBy(F.col("dst").alias("node_id")).agg(F.count(F.lit(1)).alias("indeg"))
     thr = lt_thresholds(nodes, distribution, seed).join(indeg, "node_id")
-    n = _partitions(spark)
-    state = {"pressure": None}
-
-    def step(f, _done, _t):
-        contrib = (f.join(e, f["node_id"] == e["src"])
-                   .groupBy("article_id", F.col("dst").alias("node_id")).agg(F.count(F.lit(1)).alias("cnt")))
-        prev = state["pressure"]
-        pressure = contrib if prev is None else (
-            prev.unionByName(contrib).groupBy(*KEY).agg(F.sum("cnt").alias("cnt")))
-        pressure = cut_lineage(pressure.repartition(n, *KEY))
-        state["pressure"] = pressure
-        hit = (pressure.join(thr, "node_id")
-               .where(F.col("cnt") / F.col("indeg") >= F.col("threshold")))
-        return hit.select(*KEY)
-
-    return _frontier_loop(spark, seeds, step, max_steps)
+    # edges carry the target's threshold and in-degree, so a round needs one join
+    e = _loop_input(spark, oriented.join(thr.withColumnRenamed("node_id", "dst"), "dst"), "src")
+    fr = _Frontiers()
+    contribs: list[DataFrame] = []
+    n_new = fr.add(seeds.select(*KEY).distinct())
+    for _t in range(1, max_steps + 1):
+        if n_new == 0:
+            break
+        frontier = fr.parts[-1]
+        contrib, _ = _counted_checkpoint(
+            frontier.join(e, frontier["node_id"] == e["src"])
+            .groupBy("article_id", F.col("dst").alias("node_id"))
+            .agg(F.count(F.lit(1)).alias("cnt"), F.max("threshold").alias("threshold"),
+                 F.max("indeg").alias("indeg")))
+        contribs.append(contrib.persist(StorageLevel.MEMORY_AND_DISK))
+        keys = contrib.select(*KEY)
+        total = None
+        for c in contribs:
+            part = c.select(*KEY, "cnt").join(keys, KEY, "left_semi")
+            total = part if total is None else total.unionByName(part)
+        total = total.groupBy(*KEY).agg(F.sum("cnt").alias("cnt"))
+        hit = (total.join(contrib.select(*KEY, "threshold", "indeg"), KEY)
+               .where(F.col("cnt") / F.col("indeg") >= F.col("threshold")).select(*KEY))
+        n_new = fr.add(fr.new_only(hit))
+    if n_new == 0:
+        fr.parts.pop()
+    for c in contribs:
+        c.unpersist()
+    return fr.finish()
 
 
 def cascade_metrics(activation: DataFrame, articles: DataFrame) -> DataFrame:

@@ -1,2 +1,2 @@
 """Importing this module registers every query of the library."""
-from . import q_graph, q_profile  # noqa: F401
+from . import q_cascades, q_graph, q_profile  # noqa: F401
