@@ -23,6 +23,8 @@ LABEL_BY_NAME = {"fake": 0, "real": 1}
 SOURCE_LABEL_PATTERN = r"([A-Za-z0-9]+)_(fake|real|unknown)"
 TIME_COLUMN_PATTERN = r"(?i)(time|timestamp|created_at|datetime|date)$"
 TWITTER_TIME_FORMAT = "EEE MMM dd HH:mm:ss Z yyyy"
+# parsing skips the leading day name ("Wed "), which Spark only formats
+TWITTER_TIME_PARSE = "MMM dd HH:mm:ss Z yyyy"
 # ---------------------------------------------------------------------------
 
 CSV_OPTIONS = {"header": "true", "multiLine": "true", "escape": '"', "quote": '"',
@@ -151,7 +153,7 @@ def read_tweets(spark: SparkSession, root: str, multi_line: bool = True) -> Data
     flat = raw.select(
         F.coalesce(F.col("id_str"), F.col("id").cast("string")).alias("tweet_id"),
         _id("user").alias("user_id"),
-        F.try_to_timestamp(F.col("created_at"), F.lit(TWITTER_TIME_FORMAT)).alias("created_at"),
+        F.try_to_timestamp(F.expr("substring(created_at, 5)"), F.lit(TWITTER_TIME_PARSE)).alias("created_at"),
         F.col("retweeted_status").isNotNull().alias("is_retweet"),
         F.col("retweeted_status.user.id_str").alias("original_user_id"),
         F.col("in_reply_to_user_id_str").alias("in_reply_to_user_id"),
