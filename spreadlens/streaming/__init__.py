@@ -1,0 +1,5 @@
+"""Streaming: the reference has no streams (every step is a batch function that
+writes a file), so nothing is built here.  All operators are batch DataFrame
+functions; the tweet JSON reader in ``spreadlens.sources.files`` takes an
+explicit schema, so it can be pointed at ``spark.readStream`` unchanged if a
+streaming ingest is ever wanted."""
