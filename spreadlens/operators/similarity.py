@@ -214,3 +214,22 @@ def knn_vote(neigh: DataFrame, labels: DataFrame) -> DataFrame:
         F.when(F.col("total") == 0, F.lit(0.5)).when(fp > rp, fp).otherwise(rp).alias("confidence"),
         F.col("n_fake").cast("bigint").alias("n_fake"), F.col("n_real").cast("bigint").alias("n_real"),
         "mean_similarity")
+
+
+def pca_2d(vectors: DataFrame, col: str = "embedding", k: int = 2) -> DataFrame:
+    """Project dense vectors on their first ``k`` principal components.
+
+    Vectors are centred first (MLlib's PCA projection does not centre); the
+    covariance is aggregated by Spark (a dim x dim matrix, bounded by the vector
+    dimension).  Signs are fixed so each component's largest-magnitude loading is
+    positive.  Output: (news_id, pc1, ..., pck)."""
+    from pyspark.ml.feature import PCA, StandardScaler
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    v = vectors.select("news_id", array_to_vector(F.transform(col, lambda x: x.cast("double"))).alias("features"))
+    centred = StandardScaler(withMean=True, withStd=False, inputCol="features", outputCol="centred").fit(v).transform(v)
+    model = PCA(k=k, inputCol="centred", outputCol="pc").fit(centred)
+    loadings = model.pc.toArray()
+    signs = [1.0 if loadings[int(np.argmax(np.abs(loadings[:, j]))), j] >= 0 else -1.0 for j in range(k)]
+    proj = model.transform(centred).select("news_id", vector_to_array("pc").alias("p"))
+    return proj.select("news_id", *[(F.col("p")[j] * F.lit(signs[j])).alias(f"pc{j + 1}") for j in range(k)])

@@ -255,3 +255,8 @@ def q_edge_checks(spark, d):
         "metric", ["n_self_loops", "n_bad_weights", "n_isolates", "n_edges"]).agg(F.count(F.lit(1)))
     return wide.select(*[F.coalesce(c, F.lit(0)).cast("bigint").alias(c)
                          for c in ("n_self_loops", "n_bad_weights", "n_isolates", "n_edges")])
+
+
+@query("pca_2d")
+def q_pca_2d(spark, d):
+    return S.pca_2d(A.vectors(spark, d))
