@@ -7,7 +7,7 @@ from spreadlens.operators import similarity as S
 
 
 def test_toy(spark):
-    news = spark.createDataFrame([("1", "a", "a", 0, "gossipcop"), ("2", "b", "b", 1, "gossipcop")],
+    news = spark.createDataFrame([("1", "a", "a", 0, "site_a"), ("2", "b", "b", 1, "site_a")],
                                  "news_id string, text string, clean_text string, label int, source string")
     raw = spark.createDataFrame([("1", "", "t1", "111\t222 333"), ("2", "", "t2", "")],
                                 "id string, news_url string, title string, tweet_ids string")
