@@ -287,3 +287,18 @@ def q_eda_summary(spark, d):
              "fake_mean_tweets", "real_mean_tweets",
              F.abs(F.col("fake_mean_tweets") - F.col("real_mean_tweets")).alias("fake_real_gap"),
              "mean_text_length", "median_text_length", "mean_reduction_pct")
+
+
+@query("eda_combined", """
+    SELECT m.news_id, CASE m.label WHEN 0 THEN 'fake' WHEN 1 THEN 'real' ELSE 'unknown' END AS label_name,
+           m.source, m.tweet_count, CAST(length(coalesce(n.text, '')) AS BIGINT) AS text_length,
+           CAST(length(n.clean_text) AS BIGINT) AS clean_length
+    FROM metrics m LEFT JOIN news_clean n ON m.news_id = n.news_id""")
+def q_eda_combined(spark, d):
+    """Article metrics joined back to the article text columns (left join on news_id)."""
+    m = metrics_df(spark, d).select("news_id", "label", "source", "tweet_count")
+    n = news_clean(spark, d).select("news_id", "text", "clean_text")
+    j = m.join(n, "news_id", "left")
+    return j.select("news_id", label_name(F.col("label")).alias("label_name"), "source", "tweet_count",
+                    F.length(F.coalesce(F.col("text"), F.lit(""))).cast("bigint").alias("text_length"),
+                    F.length("clean_text").cast("bigint").alias("clean_length"))
