@@ -15,14 +15,16 @@ MIN_WORDS = 5
 BROADCAST_ROWS = 200_000
 
 
-def _lines(docs: DataFrame, min_words: int) -> DataFrame:
-    """doc_id, doc (hash of the text), line_no, n, words, h1, h2 of every line with enough words."""
-    words = F.array_remove(F.split(F.lower("line"), "[ \\t\\r\\f\\x0B]+"), "")
-    joined = F.array_join("words", " ")
-    return (docs.select("doc_id", F.xxhash64("text").alias("doc"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-            .select("doc_id", "doc", "line_no", words.alias("words")).withColumn("n", F.size("words")).filter(F.col("n") >= min_words)
-            .withColumn("joined", joined)
-            .select("doc_id", "doc", "line_no", "n", "words", F.xxhash64("joined").alias("h1"), F.xxhash64(F.lit(1), "joined").alias("h2")))
+def _words(line) -> Column:
+    """Words of a line in lower case; blanks are spaces, tabs and carriage returns."""
+    plain = F.replace(F.replace(F.lower(line), F.lit("\t"), F.lit(" ")), F.lit("\r"), F.lit(" "))
+    return F.array_remove(F.split(plain, " "), "")
+
+
+def _hashes(words: str = "words") -> list[Column]:
+    """128 bits that stand for the words of a line."""
+    joined = F.array_join(words, " ")
+    return [F.xxhash64(joined).alias("h1"), F.xxhash64(F.lit(1), joined).alias("h2")]
 
 
 def _order() -> Column:
@@ -48,70 +50,87 @@ def _fit(big: DataFrame, small: DataFrame, on: list[str], how: str = "inner") ->
     return big.join(F.broadcast(small) if small.count() <= BROADCAST_ROWS else small, on, how)
 
 
-def _near_earlier(lines: DataFrame, occurrences: DataFrame) -> DataFrame:
+def _active(occurrences: DataFrame) -> DataFrame:
+    """ord, h1, h2 of the distinct lines that share a half with another: no others can be within one edit.
+
+    Two lines within one edit share their first or their last floor(min(n, m) / 2)
+    words, so each line gives its halves of floor(n / 2) and of floor((n - 1) / 2) words.
+    """
+    halves = occurrences.select("h1", "h2", "ord", F.explode(F.array("p0", "s0", "p1", "s1")).alias("half")).filter("half is not null")
+    common = cut_lineage(halves.groupBy("half").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).filter("a <> b").select("half"))
+    return _fit(halves, common, ["half"], "left_semi").groupBy("h1", "h2").agg(F.min("ord").alias("ord"))
+
+
+def _variants(text: DataFrame) -> DataFrame:
+    """id, pos, key: the hash of a line without its word at pos, for every word of every line.
+
+    A line's hash is the xor of its words' hashes by position, so the hash without
+    word i is the xor of what comes before it and of what comes after it, moved one
+    place to the left: two running xors.
+    """
+    word = (text.select("id", "moved", F.posexplode("words").alias("pos", "word"))
+            .select("id", "pos", F.xxhash64("pos", "word").alias("here"),
+                    F.xxhash64(F.col("pos") - 1, "word").bitwiseXOR(F.when(F.col("pos") == 0, F.col("moved")).otherwise(F.lit(0).cast("long"))).alias("left")))
+    at = Window.partitionBy("id").orderBy("pos")
+    before = F.coalesce(F.bit_xor("here").over(at.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long"))
+    until = F.bit_xor("left").over(at.rowsBetween(Window.unboundedPreceding, 0))
+    return word.select("id", "pos", before.bitwiseXOR(until).alias("key"))
+
+
+def _near_earlier(docs: DataFrame, occurrences: DataFrame) -> DataFrame:
     """h1, h2 of the distinct lines that have an earlier distinct line within one edited word."""
-    distinct = occurrences.groupBy("h1", "h2").agg(F.min("ord").alias("ord"), F.min("n").alias("n"),
-                                                   *(F.min(c).alias(c) for c in ("p0", "s0", "p1", "s1")))
-    # two lines within one edit share their first or their last floor(min(n, m) / 2) words: the others need no variants
-    halves = distinct.select("h1", "h2", "ord", "n", F.explode(F.array("p0", "s0", "p1", "s1")).alias("half")).filter("half is not null")
-    common = halves.groupBy("half").agg(F.count("*").alias("c")).filter("c > 1").select("half")
-    active = cut_lineage(halves.join(common, "half", "left_semi").select("h1", "h2", "ord", "n").distinct())
+    active = cut_lineage(_active(occurrences))
     # their words, from the occurrence that comes first
-    text = _fit(lines.select("h1", "h2", _order().alias("ord"), "words"), active, ["h1", "h2", "ord"])
-    text = cut_lineage(text.dropDuplicates(["h1", "h2"]))
-    # a line's hash is the xor of its words' hashes by position, so the hash without word i is
-    # the xor of what comes before it and of what comes after it, moved one place to the left
-    at = Window.partitionBy("h1", "h2").orderBy("pos")
-    none = F.lit(0).cast("long")
-    before = F.coalesce(F.bit_xor("here").over(at.rowsBetween(Window.unboundedPreceding, -1)), none)
-    until = F.bit_xor("left").over(at.rowsBetween(Window.unboundedPreceding, 0))
-    total = F.bit_xor("left").over(Window.partitionBy("h1", "h2"))
-    word = (text.select("h1", "h2", "ord", "n", F.posexplode("words").alias("pos", "word"))
-            .select("h1", "h2", "ord", "n", "pos", F.xxhash64("pos", "word").alias("here"), F.xxhash64(F.col("pos") - 1, "word").alias("left"))
-            .select("*", before.bitwiseXOR(until).bitwiseXOR(total).alias("without"), before.bitwiseXOR(F.col("here")).alias("upto")))
-    variants = word.select("h1", "h2", "ord", F.explode(F.array(
-        F.struct("pos", F.col("without").alias("key"), (F.col("n") - 1).alias("rest")),
-        F.when(F.col("pos") == F.col("n") - 1, F.struct(F.lit(-1).alias("pos"), F.col("upto").alias("key"), F.col("n").alias("rest"))))).alias("v")
-    ).filter("v is not null").select("h1", "h2", "ord", "v.*")
-    # equal variants: the same word replaced (equal position), or a line against the same line less a word.
-    # only the earliest of a bucket matters, so buckets are aggregates and no pairs are made within them
-    replaced = variants.filter("pos >= 0").groupBy("key", "rest", "pos").agg(F.min("ord").alias("low"), F.max("ord").alias("high")).filter("low < high")
-    shorter = (variants.groupBy("key", "rest").agg(F.min(F.when(F.col("pos") < 0, F.col("ord"))).alias("whole"),
-                                                   F.min(F.when(F.col("pos") >= 0, F.col("ord"))).alias("less"))
-               .filter("whole is not null and less is not null"))
-    one = variants.join(replaced, ["key", "rest", "pos"]).filter("low < ord").select("h1", "h2", F.col("low").alias("found"))
-    two = (variants.join(shorter, ["key", "rest"]).select("h1", "h2", "ord", F.when(F.col("pos") < 0, F.col("less")).otherwise(F.col("whole")).alias("found"))
-           .filter("found < ord").select("h1", "h2", "found"))
-    found = one.union(two).groupBy("h1", "h2").agg(F.min("found").alias("found"))
-    mine = text.select("h1", "h2", F.col("words").alias("a"))
+    each = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).select(_order().alias("ord"), "line")
+    found = (_fit(each, active, ["ord"]).withColumn("words", _words(F.col("line")))
+             .select("ord", "words", "h1", "h2", *(h.alias(n) for h, n in zip(_hashes(), ("g1", "g2"))))
+             .filter("h1 = g1 and h2 = g2").dropDuplicates(["h1", "h2"]))
+    xor = lambda shift: F.aggregate(F.transform("words", lambda w, i: F.xxhash64(i - shift, w)), F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(x))
+    text = cut_lineage(found.select(F.monotonically_increasing_id().alias("id"), "ord", "h1", "h2", "words",
+                                    xor(0).alias("whole"), xor(1).alias("moved")))
+    variants = _variants(text)
+    place = text.select("id", "ord")
+    # equal variants: the same word replaced (at the same place), or a line against the same line less a word;
+    # only the earliest line of a bucket matters, so buckets are aggregates and no pairs are made within them
+    same = cut_lineage(variants.groupBy("key", "pos").agg(F.count("*").alias("c")).filter("c > 1").select("key", "pos"))
+    members = _fit(variants, same, ["key", "pos"]).join(place, "id")
+    earliest = members.groupBy("key", "pos").agg(F.min("ord").alias("found"))
+    replaced = members.join(earliest, ["key", "pos"]).filter("found < ord").select("id", "found")
+    wholes = text.select(F.col("whole").alias("key"), F.col("id").alias("short"), F.col("ord").alias("short_ord"))
+    pair = _fit(variants, wholes, ["key"]).select("id", "short", "short_ord").join(place, "id")
+    deleted = pair.filter("short_ord < ord").select("id", F.col("short_ord").alias("found"))
+    inserted = pair.filter("ord < short_ord").select(F.col("short").alias("id"), F.col("ord").alias("found"))
+    best = replaced.union(deleted).union(inserted).groupBy("id").agg(F.min("found").alias("found"))
+    mine = text.select("id", "h1", "h2", F.col("words").alias("a"))
     theirs = text.select(F.col("ord").alias("found"), F.col("words").alias("b"))
-    return (found.join(mine, ["h1", "h2"]).join(theirs, "found").filter(within_one_edit(F.col("a"), F.col("b")))
-            .select("h1", "h2").distinct())
+    return best.join(mine, "id").join(theirs, "found").filter(within_one_edit(F.col("a"), F.col("b"))).select("h1", "h2").distinct()
 
 
 def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """doc_id, doc (xxhash64 of the text), dropped: the numbers of the lines that repeat an earlier one.
 
     A line repeats an earlier one if it equals it, or if one inserted, deleted or
-    replaced word makes them equal; words are runs without ASCII blanks, in lower
-    case.  Earlier means a smaller doc_id (null is last), or a smaller line number
-    in the document; lines in one place (repeated rows) are not earlier than each
-    other.  Lines with fewer than ``min_words`` words are left alone.  Null and
-    empty texts drop nothing; documents that drop nothing have no row.
+    replaced word makes them equal; words are in lower case, between spaces, tabs
+    and carriage returns.  Earlier means a smaller doc_id (null is last), or a
+    smaller line number in the document; lines in one place (repeated rows) are not
+    earlier than each other.  Lines with fewer than ``min_words`` words are left
+    alone.  Null and empty texts drop nothing; documents that drop nothing have no row.
     """
     docs = docs.select("doc_id", "text")
-    lines = _lines(docs, min_words)
-    half = lambda t, tag, start: F.when(t > 0, F.xxhash64(F.lit(tag), t, F.slice("words", start, t)))
+    lines = (docs.select("doc_id", F.xxhash64("text").alias("doc"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+             .select("doc_id", "doc", "line_no", _words(F.col("line")).alias("words")).withColumn("n", F.size("words")).filter(F.col("n") >= min_words))
+    half = lambda t, tag, start: F.when(t > 0, F.xxhash64(F.lit(tag), F.slice("words", start, t)))
     t0, t1 = F.floor(F.col("n") / 2).cast("int"), F.floor((F.col("n") - 1) / 2).cast("int")
     other = F.col("n") % 2 == 0
-    occurrences = cut_lineage(lines.select(
-        "doc_id", "doc", "line_no", "h1", "h2", "n", _order().alias("ord"),
-        half(t0, 0, F.lit(1)).alias("p0"), half(t0, 1, F.col("n") - t0 + 1).alias("s0"),
+    thin = cut_lineage(lines.select(
+        "doc_id", "doc", "line_no", *_hashes(), half(t0, 0, F.lit(1)).alias("p0"), half(t0, 1, F.col("n") - t0 + 1).alias("s0"),
         F.when(other, half(t1, 0, F.lit(1))).alias("p1"), F.when(other, half(t1, 1, F.col("n") - t1 + 1)).alias("s1")))
-    near = _near_earlier(lines, occurrences).withColumn("near", F.lit(True))
-    first = occurrences.groupBy("h1", "h2").agg(F.min("ord").alias("first"), F.max("ord").alias("last"))
-    known = first.join(near, ["h1", "h2"], "left").filter("near or first < last")
-    return (occurrences.select("doc_id", "doc", "line_no", "h1", "h2", "ord").join(known, ["h1", "h2"]).filter("near or first < ord")
+    occurrences = thin.withColumn("ord", _order())
+    near = _near_earlier(docs, occurrences).withColumn("near", F.lit(True))
+    copied = occurrences.groupBy("h1", "h2").agg(F.min("ord").alias("first"), F.max("ord").alias("last")).filter("first < last").drop("last")
+    known = cut_lineage(copied.join(near, ["h1", "h2"], "full"))
+    return (_fit(occurrences.select("doc_id", "doc", "line_no", "h1", "h2", "ord"), known, ["h1", "h2"])
+            .filter("near or first < ord")
             .groupBy("doc_id", "doc").agg(F.sort_array(F.collect_set("line_no")).alias("dropped")))
 
 
@@ -149,7 +168,7 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: The same with whole lines and variants as text.
 OP2_SQL = r"""
-WITH l AS (SELECT rid, doc_id, no - 1 AS line_no, list_filter(regexp_split_to_array(lower(ls[no]), '[ \t\r\f\v]+'), lambda x: x <> '') AS w
+WITH l AS (SELECT rid, doc_id, no - 1 AS line_no, list_filter(regexp_split_to_array(lower(ls[no]), '[ \t\r]+'), lambda x: x <> '') AS w
            FROM (SELECT *, unnest(range(1, len(ls) + 1)) AS no
                  FROM (SELECT row_number() OVER () AS rid, doc_id, string_split(text, chr(10)) AS ls FROM documents))),
 o AS (SELECT *, CAST(doc_id AS HUGEINT) * 2147483648 + line_no AS ord, array_to_string(w, ' ') AS s FROM l WHERE len(w) >= 5),
