@@ -84,10 +84,11 @@ def _near_earlier(docs: DataFrame, occurrences: DataFrame) -> DataFrame:
     each = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).select(_order().alias("ord"), "line")
     found = (_fit(each, active, ["ord"]).withColumn("words", _words(F.col("line")))
              .select("ord", "words", "h1", "h2", *(h.alias(n) for h, n in zip(_hashes(), ("g1", "g2"))))
-             .filter("h1 = g1 and h2 = g2").dropDuplicates(["h1", "h2"]))
+             .dropDuplicates(["h1", "h2", "g1", "g2"]))
     xor = lambda shift: F.aggregate(F.transform("words", lambda w, i: F.xxhash64(i - shift, w)), F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(x))
-    text = cut_lineage(found.select(F.monotonically_increasing_id().alias("id"), "ord", "h1", "h2", "words",
-                                    xor(0).alias("whole"), xor(1).alias("moved")))
+    # the hashes are compared after the table is written: before, they would become join keys and be taken of every line
+    text = cut_lineage(found.select(F.monotonically_increasing_id().alias("id"), "ord", "h1", "h2", "g1", "g2", "words",
+                                    xor(0).alias("whole"), xor(1).alias("moved"))).filter("h1 = g1 and h2 = g2").drop("g1", "g2")
     variants = _variants(text)
     place = text.select("id", "ord")
     # equal variants: the same word replaced (at the same place), or a line against the same line less a word;
