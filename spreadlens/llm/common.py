@@ -26,10 +26,13 @@ def held_out(mod: int, rest: int, col: str = "doc_id") -> Column:
 
 
 def labelled(docs: DataFrame, labels: DataFrame, label: str) -> DataFrame:
-    """Texts with a 0/1 label: one label per doc_id (the largest, if rows disagree)."""
+    """Texts with a 0/1 label: one label per doc_id (the largest, if rows disagree).
+
+    ``labels`` is a sample of bounded size (see ``thin``), so it is broadcast and no text is shuffled.
+    """
     one = (labels.select("doc_id", F.col(label).cast("int").alias("label"))
            .filter("doc_id is not null and label in (0, 1)").groupBy("doc_id").agg(F.max("label").alias("label")))
-    return docs.join(one, "doc_id")
+    return docs.join(F.broadcast(one), "doc_id")
 
 
 def thin(df: DataFrame, rows: int, most: int, key: Column) -> DataFrame:
