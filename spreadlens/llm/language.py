@@ -105,13 +105,14 @@ class CrossParser:
         return out
 
 
-def fit(docs: DataFrame, max_chars: int = 40_000, max_docs: int = 200) -> CrossParser:
-    """Automata of bounded samples: for each language whole texts of up to ``max_chars`` characters together,
-    taken from about ``max_docs`` labelled rows of the training fold by a hash of their text."""
+def fit(docs: DataFrame, max_chars: int = 40_000, max_docs: int = 200, max_total: int = 200_000) -> CrossParser:
+    """Automata of bounded samples: for each language whole texts of up to ``max_chars`` characters together
+    (and ``max_total`` over all languages, dealt evenly, which bounds the tables that the tasks get), taken from about ``max_docs`` labelled rows of the training fold by a hash of their text."""
     rows = docs.filter(~held_out(FOLD, REST)).select("lang", "text").filter("lang is not null and text is not null and lang <> ''")
     counts = rows.groupBy("lang").count().collect()
     if not counts:
         return CrossParser({})
+    max_chars = min(max_chars, max_total // len(counts))
     share = F.coalesce(*(F.when(F.col("lang") == r["lang"], F.lit(min(1.0, max_docs / r["count"]))) for r in counts)) \
         if len(counts) < 200 else F.lit(min(1.0, max_docs * len(counts) / sum(r["count"] for r in counts)))
     picked = rows.filter(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < share * (1 << 30)).filter(F.length("text") <= max_chars // 2)
