@@ -5,7 +5,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spreadlens.llm import decontamination, linededup, packing, quality, simhash
-from spreadlens.session import read_table, staging_path
+from spreadlens.llm.common import counted_join, same_row
+from spreadlens.session import cut_lineage, read_table, staging_path
 
 #: No SQL expresses a learned classifier or a byte-pair encoder.
 ORACLE_SQL = None
@@ -26,19 +27,31 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each SimHash component: the one with the smallest doc_id, and one row of it."""
-    comp = simhash.near_duplicates(docs, 4, 4).select("doc_id", "fp", "component_id")
-    # rows of one doc_id and one fingerprint: the first by text stays
-    lead = comp.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct()
-    kept = docs.join(lead, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
-    return kept.dropDuplicates(["doc_id"])
+    """Keeps one document of each SimHash component: the smallest doc_id (null last), of rows that share it the smallest text hash.
+
+    Of repeated rows one stays.  Only ids and hashes are shuffled; whole rows are, if
+    at all, those that repeat.
+    """
+    each = simhash.near_duplicates(docs.select("doc_id", "text", F.xxhash64("text").alias("doc")), 4, 4, "doc")
+    place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "doc")
+    rows = cut_lineage(each.groupBy("component", "doc_id", "doc").count())
+    lead = rows.groupBy("component").agg(F.min(place).alias("lead"))
+    gone = cut_lineage(rows.join(lead, "component").filter(place != F.col("lead")).select(F.col("doc_id").alias("__id"), F.col("doc").alias("__doc")))
+    kept = counted_join(docs, gone, same_row("__id", "__doc"), "left_anti")
+    again = cut_lineage(rows.filter("count > 1").select(F.col("doc_id").alias("__id"), F.col("doc").alias("__doc")))
+    if again.isEmpty():
+        return kept
+    once = counted_join(kept, again, same_row("__id", "__doc"), "left_anti")
+    more = counted_join(kept, again, same_row("__id", "__doc"), "left_semi")
+    return once.union(more.dropDuplicates(["doc_id", "text"]))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a benchmark item."""
-    hit = (decontamination.contained_items(docs, read_table(spark, sf_dir, "benchmark"))
-           .select(F.col("doc_id").alias("__id")).distinct())
-    return docs.join(hit, F.col("doc_id").eqNullSafe(F.col("__id")), "left_anti")
+    found = decontamination.contained_items(docs.select("doc_id", "text", F.xxhash64("text").alias("doc")),
+                                            read_table(spark, sf_dir, "benchmark"), keep=("doc_id", "doc"))
+    hit = cut_lineage(found.select(F.col("doc_id").alias("__id"), F.col("doc").alias("__doc")).distinct())
+    return counted_join(docs, hit, same_row("__id", "__doc"), "left_anti")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -43,6 +43,20 @@ def thin(df: DataFrame, rows: int, most: int, key: Column) -> DataFrame:
     return df.filter(F.pmod(F.xxhash64(key, F.lit("sample")), F.lit(1 << 30)) < cut)
 
 
+#: Up to so many rows of a few numbers (some 30 MB) may be broadcast; more are joined by a shuffle.
+BROADCAST_ROWS = 200_000
+
+
+def counted_join(big: DataFrame, small: DataFrame, on, how: str = "inner") -> DataFrame:
+    """Join with a table that is counted first: broadcast if it is small, by a shuffle beyond."""
+    return big.join(F.broadcast(small) if small.count() <= BROADCAST_ROWS else small, on, how)
+
+
+def same_row(id_col: str, doc_col: str, text: str = "text") -> Column:
+    """Whether a row of documents is the one named by an id, which may be null, and its text's hash."""
+    return F.col("doc_id").eqNullSafe(F.col(id_col)) & F.xxhash64(text).eqNullSafe(F.col(doc_col))
+
+
 class WordHash(dict):
     """word -> stable hash below ``size``; forgets its words when it holds too many."""
 

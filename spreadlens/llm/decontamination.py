@@ -107,7 +107,7 @@ class Items:
         return len(self.shingles[item] & {tuple(words[i:i + size]) for i in range(len(words) - size + 1)})
 
 
-def _search(docs: DataFrame, items: Items, schema) -> DataFrame:
+def _search(docs: DataFrame, items: Items, schema, keep: tuple) -> DataFrame:
     def run(batches):
         import pyarrow as pa
         hashes = WordHash64()
@@ -128,17 +128,18 @@ def _search(docs: DataFrame, items: Items, schema) -> DataFrame:
                     if both >= items.threshold * n:
                         found.append((first + d, item, n, both))
                 if found:
-                    owner = batch.column(batch.schema.get_field_index("doc_id")).take(pa.array([f[0] for f in found]))
+                    rows = pa.array([f[0] for f in found])
+                    kept = [batch.column(batch.schema.get_field_index(k)).take(rows) for k in keep]
                     yield pa.RecordBatch.from_arrays(
-                        [owner, pa.array([items.ids[f[1]] for f in found], pa.int64() if schema["item_id"].dataType.typeName() == "long" else None),
+                        [*kept, pa.array([items.ids[f[1]] for f in found], pa.int64() if schema["item_id"].dataType.typeName() == "long" else None),
                          pa.array([f[2] for f in found], pa.int32()), pa.array([f[3] for f in found], pa.int32())],
-                        ["doc_id", "item_id", "n_shingles", "n_shared"])
+                        [*keep, "item_id", "n_shingles", "n_shared"])
     return docs.mapInArrow(run, schema)
 
 
 def contained_items(docs: DataFrame, benchmark: DataFrame, words: int = 5, threshold: float = 0.8,
-                    block_chars: int = 20_000_000) -> DataFrame:
-    """doc_id, item_id, n_shingles, n_shared, containment: items of which a document holds ``threshold`` of the shingles.
+                    block_chars: int = 20_000_000, keep: tuple = ("doc_id",)) -> DataFrame:
+    """``keep`` columns, item_id, n_shingles, n_shared, containment: items of which a document holds ``threshold`` of the shingles.
 
     Shingles are ``words`` lower-case words (runs of letters and digits), each
     counted once; an item with fewer words is one shingle.  Items without a word
@@ -147,16 +148,16 @@ def contained_items(docs: DataFrame, benchmark: DataFrame, words: int = 5, thres
     over the documents in blocks of about ``block_chars`` characters, so what is
     sent to the tasks stays bounded however many there are.
     """
-    docs = docs.select("doc_id", "text")
+    docs = docs.select(*keep, "text")
     items = benchmark.select("item_id", "text").filter("text is not null")
     chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = max(1, -(-chars // block_chars))
-    schema = (docs.select("doc_id").schema.add("item_id", items.schema["item_id"].dataType).add("n_shingles", "integer").add("n_shared", "integer"))
+    schema = (docs.select(*keep).schema.add("item_id", items.schema["item_id"].dataType).add("n_shingles", "integer").add("n_shared", "integer"))
     out = None
     for b in range(blocks):
         rows = [tuple(r) for r in items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).collect()]
         rows.sort(key=lambda r: (r[0] is None, r[0], r[1]))
-        part = _search(docs, Items(rows, words, threshold), schema)
+        part = _search(docs, Items(rows, words, threshold), schema, keep)
         out = part if out is None else out.union(part)
     return out.withColumn("containment", F.col("n_shared") / F.col("n_shingles"))
 

@@ -5,16 +5,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from spreadlens.llm.common import documents
+from spreadlens.llm.common import counted_join, documents, same_row
 from spreadlens.session import cut_lineage
 
 #: Lines with fewer words are structure, not content: they are left alone.
 MIN_WORDS = 5
 
-#: Up to so many rows of two hashes (some 20 MB) may be broadcast; more are joined by a shuffle.
-BROADCAST_ROWS = 200_000
-
-
 def _words(line) -> Column:
     """Words of a line in lower case; blanks are spaces, tabs and carriage returns."""
     plain = F.replace(F.replace(F.lower(line), F.lit("\t"), F.lit(" ")), F.lit("\r"), F.lit(" "))
@@ -45,11 +41,6 @@ def within_one_edit(a: Column, b: Column) -> Column:
     return (F.abs(F.size(a) - F.size(b)) <= 1) & (_shared_run(a, b) + _shared_run(F.reverse(a), F.reverse(b)) >= longer - 1)
 
 
-def _fit(big: DataFrame, small: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
-    """Join with a counted table: broadcast if it is small, by a shuffle beyond."""
-    return big.join(F.broadcast(small) if small.count() <= BROADCAST_ROWS else small, on, how)
-
-
 def _active(occurrences: DataFrame) -> DataFrame:
     """ord, h1, h2 of the distinct lines that share a half with another: no others can be within one edit.
 
@@ -58,7 +49,7 @@ def _active(occurrences: DataFrame) -> DataFrame:
     """
     halves = occurrences.select("h1", "h2", "ord", F.explode(F.array("p0", "s0", "p1", "s1")).alias("half")).filter("half is not null")
     common = cut_lineage(halves.groupBy("half").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).filter("a <> b").select("half"))
-    return _fit(halves, common, ["half"], "left_semi").groupBy("h1", "h2").agg(F.min("ord").alias("ord"))
+    return counted_join(halves, common, ["half"], "left_semi").groupBy("h1", "h2").agg(F.min("ord").alias("ord"))
 
 
 def _variants(text: DataFrame) -> DataFrame:
@@ -82,7 +73,7 @@ def _near_earlier(docs: DataFrame, occurrences: DataFrame) -> DataFrame:
     active = cut_lineage(_active(occurrences))
     # their words, from the occurrence that comes first
     each = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).select(_order().alias("ord"), "line")
-    found = (_fit(each, active, ["ord"]).withColumn("words", _words(F.col("line")))
+    found = (counted_join(each, active, ["ord"]).withColumn("words", _words(F.col("line")))
              .select("ord", "words", "h1", "h2", *(h.alias(n) for h, n in zip(_hashes(), ("g1", "g2"))))
              .dropDuplicates(["h1", "h2", "g1", "g2"]))
     xor = lambda shift: F.aggregate(F.transform("words", lambda w, i: F.xxhash64(i - shift, w)), F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(x))
@@ -94,11 +85,11 @@ def _near_earlier(docs: DataFrame, occurrences: DataFrame) -> DataFrame:
     # equal variants: the same word replaced (at the same place), or a line against the same line less a word;
     # only the earliest line of a bucket matters, so buckets are aggregates and no pairs are made within them
     same = cut_lineage(variants.groupBy("key", "pos").agg(F.count("*").alias("c")).filter("c > 1").select("key", "pos"))
-    members = _fit(variants, same, ["key", "pos"]).join(place, "id")
+    members = counted_join(variants, same, ["key", "pos"]).join(place, "id")
     earliest = members.groupBy("key", "pos").agg(F.min("ord").alias("found"))
     replaced = members.join(earliest, ["key", "pos"]).filter("found < ord").select("id", "found")
     wholes = text.select(F.col("whole").alias("key"), F.col("id").alias("short"), F.col("ord").alias("short_ord"))
-    pair = _fit(variants, wholes, ["key"]).select("id", "short", "short_ord").join(place, "id")
+    pair = counted_join(variants, wholes, ["key"]).select("id", "short", "short_ord").join(place, "id")
     deleted = pair.filter("short_ord < ord").select("id", F.col("short_ord").alias("found"))
     inserted = pair.filter("ord < short_ord").select(F.col("short").alias("id"), F.col("ord").alias("found"))
     best = replaced.union(deleted).union(inserted).groupBy("id").agg(F.min("found").alias("found"))
@@ -130,7 +121,7 @@ def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     near = _near_earlier(docs, occurrences).withColumn("near", F.lit(True))
     copied = occurrences.groupBy("h1", "h2").agg(F.min("ord").alias("first"), F.max("ord").alias("last")).filter("first < last").drop("last")
     known = cut_lineage(copied.join(near, ["h1", "h2"], "full"))
-    return (_fit(occurrences.select("doc_id", "doc", "line_no", "h1", "h2", "ord"), known, ["h1", "h2"])
+    return (counted_join(occurrences.select("doc_id", "doc", "line_no", "h1", "h2", "ord"), known, ["h1", "h2"])
             .filter("near or first < ord")
             .groupBy("doc_id", "doc").agg(F.sort_array(F.collect_set("line_no")).alias("dropped")))
 
@@ -141,11 +132,9 @@ def without_lines(docs: DataFrame, dropped: DataFrame) -> DataFrame:
     The others keep every column; n_chars, if there is one, follows a changed text.
     """
     drop = dropped.select(F.col("doc_id").alias("__id"), F.col("doc").alias("__doc"), F.col("dropped").alias("__dropped"))
-    if drop.count() <= BROADCAST_ROWS:
-        drop = F.broadcast(drop)
     lines = F.split("text", "\n")
     kept = F.filter(lines, lambda x, i: ~F.array_contains("__dropped", i))
-    both = docs.join(drop, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__doc")), "left")
+    both = counted_join(docs, drop, same_row("__id", "__doc"), "left")
     new = {"text": F.when(F.col("__dropped").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))}
     if "n_chars" in docs.columns:
         new["n_chars"] = F.when(F.col("__dropped").isNull(), F.col("n_chars")).otherwise(F.length(F.array_join(kept, "\n")))

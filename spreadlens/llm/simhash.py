@@ -37,16 +37,16 @@ def fingerprint(text: str | None, words: int = 4) -> int:
     return int(np.packbits(2 * on > len(h), bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, words: int = 4) -> DataFrame:
-    """doc_id, fp (the fingerprint's bits as a signed long), one row for each row of ``docs``."""
+def fingerprints(docs: DataFrame, words: int = 4, *keep: str) -> DataFrame:
+    """``keep`` columns and fp (the fingerprint's bits as a signed long), one row for each row of ``docs``."""
     def run(batches):
         import pyarrow as pa
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
             fp = np.array([fingerprint(t, words) for t in texts], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("doc_id")), pa.array(fp)], ["doc_id", "fp"])
-    docs = docs.select("doc_id", "text")
-    return docs.mapInArrow(run, docs.select("doc_id").schema.add("fp", "long"))
+            kept = [batch.column(batch.schema.get_field_index(k)) for k in keep]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(fp)], [*keep, "fp"])
+    return docs.select(*keep, "text").mapInArrow(run, docs.select(*keep).schema.add("fp", "long"))
 
 
 def segments(distance: int) -> list[tuple[int, int]]:
@@ -182,23 +182,27 @@ def links(distinct: DataFrame, distance: int = 4, bucket: int = 256, cell: int =
             .select("fp", "ring", "key", "probe", "a", "b").mapInArrow(run, "src long, dst long").distinct())
 
 
-def near_duplicates(docs: DataFrame, words: int = 4, distance: int = 4) -> DataFrame:
-    """doc_id, fp, component_id (smallest doc_id reachable over links) for every row of ``docs``.
+def near_duplicates(docs: DataFrame, words: int = 4, distance: int = 4, *keep: str) -> DataFrame:
+    """doc_id, ``keep``, fp, component, component_id of every row of ``docs``.
+
+    component is the smallest fingerprint and component_id the smallest doc_id that
+    is reachable over links.
 
     Rows with equal fingerprints are one node, so copies are never paired.  Null
     and empty texts have fingerprint 0 and link like any other; a null doc_id is
     kept, and a component of null ids only has a null component_id; repeated rows
     come out as often as they go in; an empty table gives no rows.
     """
-    each = cut_lineage(fingerprints(docs, words))
+    each = cut_lineage(fingerprints(docs, words, "doc_id", *keep))
     distinct = cut_lineage(each.groupBy("fp").agg(F.min("doc_id").alias("low")))
     comp = contract(links(distinct.select("fp"), distance))
     # the component's smallest doc_id: only nodes with a link change theirs
     linked = distinct.join(comp.withColumnRenamed("node", "fp"), "fp")
     least = linked.groupBy("component").agg(F.min("low").alias("least"))
-    name = linked.join(least, "component").select("fp", "least", F.lit(True).alias("linked"))
-    named = distinct.join(name, "fp", "left").select("fp", F.when(F.col("linked"), F.col("least")).otherwise(F.col("low")).alias("component_id"))
-    return each.join(named, "fp").select("doc_id", "fp", "component_id")
+    name = linked.join(least, "component").select("fp", "component", "least")
+    named = distinct.join(name, "fp", "left").select("fp", F.coalesce("component", "fp").alias("component"),
+                                                     F.when(F.col("component").isNotNull(), F.col("least")).otherwise(F.col("low")).alias("component_id"))
+    return each.join(named, "fp").select("doc_id", *keep, "fp", "component", "component_id")
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
