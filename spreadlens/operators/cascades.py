@@ -46,13 +46,14 @@ LT_NORMAL_CLIP = (0.1, 0.9)
 def user_tweet_map(raw: DataFrame, metrics: DataFrame) -> DataFrame:
     """tweet -> (surrogate user, article, label, source, timestamp).
 
-    A tweet listed by several articles maps to the last one (highest article id);
-    article metadata comes from the first row per news_id; missing -> (0, 'unknown').
+    A tweet listed by several articles maps to the last one (highest article id, as
+    a number for ids without leading zeros); article metadata is the smallest
+    (label, source) of a news_id; missing -> (0, 'unknown').
     The surrogate user and time are md5-derived, hence reproducible.
     """
     pairs = raw.select(F.col("id").alias("article_id"), F.explode(parse_ids(F.col("tweet_ids"))).alias("tweet_id"))
-    tweet_article = pairs.groupBy("tweet_id").agg(F.max("article_id").alias("article_id"))
-    meta = (metrics.groupBy("news_id").agg(F.min_by(F.struct("label", "source"), F.lit(1)).alias("m"))
+    tweet_article = pairs.groupBy("tweet_id").agg(F.max_by("article_id", F.struct(F.length("article_id"), "article_id")).alias("article_id"))
+    meta = (metrics.groupBy("news_id").agg(F.min(F.struct("label", "source")).alias("m"))
             .select(F.col("news_id").alias("article_id"), F.col("m.label").alias("label"),
                     F.col("m.source").alias("source")))
     h = md5_u32(F.col("tweet_id"))
@@ -294,7 +295,7 @@ def cascade_metrics(activation: DataFrame, articles: DataFrame) -> DataFrame:
         F.sum("width").cast("bigint").alias("cascade_size"),
         F.max("step").cast("bigint").alias("cascade_depth"),
         F.max("width").cast("bigint").alias("max_width"),
-        F.max_by("step", F.col("width") * 1000 - F.col("step")).cast("bigint").alias("time_to_max_width"))
+        F.max_by("step", F.struct("width", -F.col("step"))).cast("bigint").alias("time_to_max_width"))
     labels = articles.select(F.col("news_id").alias("article_id"), label_name(F.col("label")).alias("label"))
     spread = F.when(F.col("cascade_depth") > 0, F.col("cascade_size") / F.col("cascade_depth")) \
         .otherwise(F.col("cascade_size").cast("double"))

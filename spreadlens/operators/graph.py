@@ -33,7 +33,7 @@ def bipartite_graph(metrics: DataFrame, raw: DataFrame) -> tuple[DataFrame, Data
     edges = pairs.select(F.concat(F.lit(ARTICLE_PREFIX), "news_id").alias("src"),
                          F.concat(F.lit(TWEET_PREFIX), "tweet_id").alias("dst"))
     art_nodes = (metrics.groupBy("news_id")
-                 .agg(F.max_by(F.struct("label", "source", "tweet_count"), F.lit(1)).alias("m"))
+                 .agg(F.max(F.struct("label", "source", "tweet_count")).alias("m"))
                  .select(F.concat(F.lit(ARTICLE_PREFIX), "news_id").alias("node_id"),
                          F.lit("article").alias("bipartite"), "news_id",
                          F.col("m.label").alias("label"), F.col("m.source").alias("source"),

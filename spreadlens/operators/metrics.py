@@ -132,11 +132,12 @@ def mann_whitney(df: DataFrame, value: str, group: str, x_value, y_value) -> Dat
               .agg(F.sum((g == x_value).cast("bigint")).alias("nx"), F.sum((g == y_value).cast("bigint")).alias("ny")))
     w = Window.orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     t = F.col("nx") + F.col("ny")
+    many = F.col("t").cast("double")  # a bigint's cube overflows from 2,097,152 ties on
     ranked = counts.select("nx", "ny", t.alias("t"),
                            (F.coalesce(F.sum(t).over(w), F.lit(0)) + (t + 1) / 2.0).alias("avg_rank"))
     s = ranked.agg(F.sum("nx").alias("n1"), F.sum("ny").alias("n2"),
-                   F.sum(F.col("nx") * F.col("avg_rank")).alias("r1"),
-                   F.sum(F.col("t") * F.col("t") * F.col("t") - F.col("t")).alias("tie_term"))
+                   F.sum(F.col("nx").cast("double") * F.col("avg_rank")).alias("r1"),
+                   F.sum(many * many * many - many).alias("tie_term"))
     n1, n2 = F.col("n1").cast("double"), F.col("n2").cast("double")
     n = n1 + n2
     u1 = F.col("r1") - n1 * (n1 + 1) / 2.0
@@ -173,8 +174,13 @@ def text_length_stats(df: DataFrame) -> DataFrame:
                      F.when(tl > 0, (tl - cl) * 100.0 / tl).alias("reduction_pct"))
 
 
-def top_k(df: DataFrame, score: str, k: int, id_col: str, keep: list[str] | None = None) -> DataFrame:
-    """Top-k rows by score (desc, id asc tie-break) with a 1-based rank."""
+def top_k(df: DataFrame, score: str, k: int, id_col: str, keep: list[str] | None = None,
+          by: str | None = None) -> DataFrame:
+    """Top-k rows by score (desc, id asc tie-break) with a 1-based rank, of each ``by`` if given."""
+    if by:
+        each = Window.partitionBy(by).orderBy(F.col(score).desc(), F.col(id_col).asc())
+        return (df.withColumn("rank", F.row_number().over(each)).where(F.col("rank") <= k)
+                .select(F.col("rank").cast("bigint").alias("rank"), by, id_col, *(keep or []), score))
     ordered = df.orderBy(F.col(score).desc(), F.col(id_col).asc()).limit(k)
     w = Window.orderBy(F.col(score).desc(), F.col(id_col).asc())
     return ordered.select(F.row_number().over(w).cast("bigint").alias("rank"), id_col, *(keep or []), score)

@@ -145,7 +145,8 @@ def knn(rows: DataFrame, dim: int, k: int = 10, threshold: float = 0.25,
     """Directed kNN lists (a, b, sim): each document's top ``k`` neighbours with
     sim >= threshold, ties by neighbour id."""
     n = rows.select(F.count(F.lit(1))).collect()[0][0]
-    block_rows = max(64, block_bytes // max(1, dim * 8))
+    # neither a block's rows nor the similarities of two blocks, with their copies, go beyond the budget
+    block_rows = max(64, min(block_bytes // max(1, dim * 8), math.isqrt(block_bytes // 64)))
     nb = max(1, math.ceil(n / block_rows))
     b = F.pmod(F.xxhash64("news_id"), F.lit(nb)).cast("int")
     base = rows.withColumn("blk", b)

@@ -49,7 +49,7 @@ def links(spark: SparkSession, nodes: DataFrame, edges: DataFrame, out: str, dam
     scores = pr.join(hi, ["graph", "node_id"], "left")
     write_table(scores, f"{out}/link_scores")
     for col in ("pagerank", "authority", "hub"):
-        write_table(M.top_k(scores, col, top_k, "node_id", keep=["graph"]), f"{out}/top_{col}")
+        write_table(M.top_k(scores, col, top_k, "node_id", by="graph"), f"{out}/top_{col}")
 
 
 def communities(spark: SparkSession, nodes: DataFrame, edges: DataFrame, out: str,

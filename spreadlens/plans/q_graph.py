@@ -171,10 +171,10 @@ def q_label_subgraph(spark, d):
            strftime(TIMESTAMP '2017-01-01 00:00:00'
                     + to_days(CAST(h % 365 AS INTEGER)) + to_hours(CAST((h // 1000) % 24 AS INTEGER))
                     + to_minutes(CAST((h // 100) % 60 AS INTEGER)), '%Y-%m-%d %H:%M:%S') AS timestamp
-    FROM (SELECT tweet_id, max(news_id) AS article_id,
+    FROM (SELECT tweet_id, list(news_id ORDER BY length(news_id) DESC, news_id DESC)[1] AS article_id,
                  CAST(('0x' || substr(md5(tweet_id), 1, 8)) AS UBIGINT)::BIGINT AS h
           FROM pairs GROUP BY tweet_id) ta
-    LEFT JOIN (SELECT news_id, min(label) AS label, min(source) AS source FROM metrics GROUP BY news_id) m
+    LEFT JOIN (SELECT news_id, m.label AS label, m.source AS source FROM (SELECT news_id, list({{'label': label, 'source': source}} ORDER BY label, source)[1] AS m FROM metrics GROUP BY news_id)) m
       ON ta.article_id = m.news_id""")
 def q_user_tweet_map(spark, d):
     m = C.user_tweet_map(A.raw_articles(spark, d), metrics_df(spark, d))

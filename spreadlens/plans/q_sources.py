@@ -7,15 +7,11 @@ from pyspark.sql import functions as F
 
 from ..functions.text import label_name
 from ..operators import graph as G
-from ..session import read_table, staging_path
+from ..session import staging_path
 from ..sources import adapters as A
 from ..sources import files as S
 from .registry import query
 
-TABLES = ("region nation customer supplier part orders lineitem events documents embeddings "
-          "pages benchmark labels conversations").split()
-
-
 def stage_articles(spark, d) -> str:
     path = staging_path(spark, "articles")
     arts = A.articles(spark, d)
@@ -74,14 +70,6 @@ def q_file_catalog(spark, d):
     return S.file_catalog(spark, stage_articles(spark, d))
 
 
-@query("time_columns", """
-    SELECT table_name, column_name FROM information_schema.columns
-    WHERE table_name IN ({}) AND regexp_matches(column_name, '(?i)(time|timestamp|created_at|datetime|date)$')"""
-       .format(", ".join(f"'{t}'" for t in TABLES)))
-def q_time_columns(spark, d):
-    return S.time_columns({t: read_table(spark, d, t) for t in TABLES})
-
-
 @query("tweet_json_flat", """
     SELECT CAST(t.tweet_id AS VARCHAR) AS tweet_id, CAST(t.user_id AS VARCHAR) AS user_id,
            strftime(t.ts, '%Y-%m-%d %H:%M:%S') AS created_at,

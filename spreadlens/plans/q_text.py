@@ -240,7 +240,7 @@ def q_knn_vote(spark, d):
 
 @query("edge_checks", f"""
     SELECT CAST((SELECT count(*) FROM sim_graph WHERE src = dst) AS BIGINT) AS n_self_loops,
-           CAST((SELECT count(*) FROM sim_graph WHERE weight < 0.0 OR weight > 1.0 + 1e-9) AS BIGINT) AS n_bad_weights,
+           CAST((SELECT count(*) FROM sim_graph WHERE weight < 0.0 OR weight > 1.0) AS BIGINT) AS n_bad_weights,
            CAST((SELECT count(*) FROM articles WHERE news_id NOT IN (SELECT src FROM sim_graph UNION SELECT dst FROM sim_graph))
                 AS BIGINT) AS n_isolates,
            CAST((SELECT count(*) FROM sim_graph) AS BIGINT) AS n_edges""")
@@ -248,7 +248,7 @@ def q_edge_checks(spark, d):
     edges = S.undirected(tfidf_knn_df(spark, d))
     nodes = A.articles(spark, d).select(F.col("news_id").alias("node_id"))
     tall = (edges.select(F.when(F.col("src") == F.col("dst"), "n_self_loops").alias("metric"))
-            .unionAll(edges.select(F.when((F.col("weight") < 0.0) | (F.col("weight") > 1.0 + 1e-9), "n_bad_weights")))
+            .unionAll(edges.select(F.when((F.col("weight") < 0.0) | (F.col("weight") > 1.0), "n_bad_weights")))
             .unionAll(G.isolates(nodes, edges).select(F.lit("n_isolates")))
             .unionAll(edges.select(F.lit("n_edges"))))
     wide = tall.where(F.col("metric").isNotNull()).groupBy().pivot(

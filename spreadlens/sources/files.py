@@ -21,7 +21,6 @@ TEXT_CANDIDATES = ("title", "text", "content", "body", "article", "news_article"
 ID_CANDIDATES = ("news_id", "id", "newsid")
 LABEL_BY_NAME = {"fake": 0, "real": 1}
 SOURCE_LABEL_PATTERN = r"([A-Za-z0-9]+)_(fake|real|unknown)"
-TIME_COLUMN_PATTERN = r"(?i)(time|timestamp|created_at|datetime|date)$"
 TWITTER_TIME_FORMAT = "EEE MMM dd HH:mm:ss Z yyyy"
 # parsing skips the leading day name ("Wed "), which Spark only formats
 TWITTER_TIME_PARSE = "MMM dd HH:mm:ss Z yyyy"
@@ -116,14 +115,6 @@ def file_catalog(spark: SparkSession, root: str) -> DataFrame:
             .where(F.col("n_rows") > 0).select("file_name", "n_rows", "n_columns"))
 
 
-def time_columns(tables: dict[str, DataFrame]) -> DataFrame:
-    """(table_name, column_name) for columns whose name looks like a timestamp."""
-    pattern = re.compile(TIME_COLUMN_PATTERN)
-    rows = [(t, c) for t, df in tables.items() for c in df.columns if pattern.search(c)]
-    spark = next(iter(tables.values())).sparkSession
-    return spark.createDataFrame(rows, "table_name string, column_name string")
-
-
 # ------------------------------------------------------------------- tweet JSON (S7-S9)
 
 _ID = T.StructType([T.StructField("id_str", T.StringType()), T.StructField("id", T.LongType())])
@@ -135,6 +126,7 @@ TWEET_SCHEMA = T.StructType([
     T.StructField("retweeted_status", T.StructType([
         T.StructField("id_str", T.StringType()), T.StructField("user", _ID)])),
     T.StructField("in_reply_to_user_id_str", T.StringType()),
+    T.StructField("in_reply_to_user_id", T.LongType()),
     T.StructField("entities", T.StructType([
         T.StructField("user_mentions", T.ArrayType(_ID))])),
 ])
@@ -155,8 +147,8 @@ def read_tweets(spark: SparkSession, root: str, multi_line: bool = True) -> Data
         _id("user").alias("user_id"),
         F.try_to_timestamp(F.expr("substring(created_at, 5)"), F.lit(TWITTER_TIME_PARSE)).alias("created_at"),
         F.col("retweeted_status").isNotNull().alias("is_retweet"),
-        F.col("retweeted_status.user.id_str").alias("original_user_id"),
-        F.col("in_reply_to_user_id_str").alias("in_reply_to_user_id"),
+        F.coalesce("retweeted_status.user.id_str", F.col("retweeted_status.user.id").cast("string")).alias("original_user_id"),
+        F.coalesce("in_reply_to_user_id_str", F.col("in_reply_to_user_id").cast("string")).alias("in_reply_to_user_id"),
         F.transform(F.coalesce(F.col("entities.user_mentions"), F.array().cast(T.ArrayType(_ID))),
                     lambda m: F.coalesce(m["id_str"], m["id"].cast("string"))).alias("mentioned_user_ids"),
         F.col("_metadata.file_path").alias("path"))
@@ -173,7 +165,7 @@ def tweet_interactions(flat: DataFrame) -> DataFrame:
         "tweet_id", F.col("created_at").alias("ts"))
     mn = flat.select(F.col("user_id").alias("src"), F.explode("mentioned_user_ids").alias("dst"),
                      F.lit("mention").alias("kind"), "tweet_id", F.col("created_at").alias("ts"))
-    return rt.unionByName(rp).unionByName(mn).where(F.col("dst").isNotNull() & (F.col("src") != F.col("dst")))
+    return rt.unionByName(rp).unionByName(mn).where(F.col("dst").isNotNull())
 
 
 # ----------------------------------------------------------------------------- sinks
