@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import md5_u32
 from ..session import cut_lineage
+from .components import contract
 
 
 def undirected(edges: DataFrame) -> DataFrame:
@@ -30,26 +31,18 @@ def _both_ways(und: DataFrame) -> DataFrame:
             .unionAll(und.where(F.col("u") != F.col("v")).select("graph", F.col("v").alias("a"), F.col("u").alias("b"))))
 
 
-def connected_components(spark: SparkSession, nodes: DataFrame, und: DataFrame,
-                         max_rounds: int = 1000) -> DataFrame:
+def connected_components(spark: SparkSession, nodes: DataFrame, und: DataFrame) -> DataFrame:
     """(graph, node_id, component): component = smallest node id reachable.
 
-    Min-label propagation over both edge directions until no label changes."""
-    adj = cut_lineage(_both_ways(und))
-    lab = cut_lineage(nodes.select("graph", "node_id", F.col("node_id").alias("label")))
-    for _ in range(max_rounds):
-        nb = (lab.join(adj.select("graph", F.col("a").alias("node_id"), F.col("b").alias("nbr")), ["graph", "node_id"])
-              .select("graph", F.col("nbr").alias("node_id"), F.col("label").alias("cand")))
-        best = nb.groupBy("graph", "node_id").agg(F.min("cand").alias("cand"))
-        nxt = (lab.join(best, ["graph", "node_id"], "left")
-               .select("graph", "node_id", F.least("label", F.coalesce("cand", "label")).alias("label"),
-                       (F.coalesce("cand", "label") < F.col("label")).alias("changed")))
-        nxt = cut_lineage(nxt)
-        changed = nxt.where("changed").count()
-        lab = nxt.select("graph", "node_id", "label")
-        if changed == 0:
-            break
-    return lab.withColumnRenamed("label", "component")
+    Contraction with pointer jumping: rounds grow with the logarithm of the
+    number of nodes and end when no edge is left."""
+    at = lambda c: F.struct(F.col("graph").alias("graph"), F.col(c).alias("node_id"))
+    comp = contract(und.select(at("u").alias("src"), at("v").alias("dst")))
+    comp = comp.select(F.col("node.graph").alias("graph"), F.col("node.node_id").alias("node_id"),
+                       F.col("component.node_id").alias("component"))
+    return (nodes.select("graph", "node_id").join(comp, ["graph", "node_id"], "left")
+            .select("graph", "node_id", F.coalesce("component", "node_id").alias("component")))
+
 
 
 def largest_component_sample(nodes: DataFrame, und: DataFrame, comps: DataFrame, n: int,
@@ -59,11 +52,11 @@ def largest_component_sample(nodes: DataFrame, und: DataFrame, comps: DataFrame,
     sizes = comps.groupBy("graph", "component").agg(F.count(F.lit(1)).alias("size"))
     big = sizes.groupBy("graph").agg(F.max_by("component", F.struct("size", -F.col("component"))).alias("component"))
     members = comps.join(big, ["graph", "component"], "left_semi")
-    from pyspark.sql import Window
-    w = Window.partitionBy("graph").orderBy(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("node_id").cast("string"))),
-                                            "node_id")
-    # the ranking runs once per graph over that graph's members only
-    sample = members.withColumn("r", F.row_number().over(w)).where(F.col("r") <= n).select("graph", "node_id")
+    key = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("node_id").cast("string")))
+    sample = members.select("graph", "node_id").limit(0)
+    for g in sorted(r["graph"] for r in big.select("graph").collect()):  # one row for each graph
+        # a limit keeps n rows in each task before they meet
+        sample = sample.unionByName(members.where(F.col("graph") == g).orderBy(key, "node_id").limit(n).select("graph", "node_id"))
     e = (und.join(sample.withColumnRenamed("node_id", "u"), ["graph", "u"], "left_semi")
          .join(sample.withColumnRenamed("node_id", "v"), ["graph", "v"], "left_semi"))
     return sample, e.select("graph", "u", "v")
