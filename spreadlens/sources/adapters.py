@@ -4,7 +4,7 @@ The analytics work on articles, the tweets that shared them, the raw per-article
 tweet-id lists, user interactions, and article vectors.  The shared tables
 provide ``documents``, ``labels``, ``events`` and ``embeddings``; the views below
 derive the data model from them (same meaning as the SQL in
-``spreadlens.plans.oracle``):
+``spreadlens.plans.sqlviews``):
 
 * ``articles(news_id, text, source, label)``  documents left-join labels,
   label = quality (0 fake, 1 real, null unknown); the whole document text.
