@@ -5,7 +5,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spreadlens.llm import decontamination, linededup, packing, quality, simhash
-from spreadlens.llm.common import counted_join, same_row
+from spreadlens.llm.common import counted_join, documents, same_row, whole_texts
 from spreadlens.session import cut_lineage, read_table, staging_path
 
 #: No SQL expresses a learned classifier or a byte-pair encoder.
@@ -14,7 +14,7 @@ ORACLE_SQL = None
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that the quality classifier, fitted on the labels of ``documents``, rejects."""
-    base = read_table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars")
+    base = documents(spark, sf_dir).select("doc_id", "text", "n_chars")
     model = quality.fit(base, read_table(spark, sf_dir, "labels").select("doc_id", "quality"))
     columns = docs.columns
     scored = quality.score(docs.withColumnsRenamed({"score": "__score"}), model, *("__score" if c == "score" else c for c in columns))
@@ -32,6 +32,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     Of repeated rows one stays.  Only ids and hashes are shuffled; whole rows are, if
     at all, those that repeat.
     """
+    whole_texts(spark)
     each = simhash.near_duplicates(docs.select("doc_id", "text", F.xxhash64("text").alias("doc")), 4, 4, "doc")
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "doc")
     rows = cut_lineage(each.groupBy("component", "doc_id", "doc").count())
@@ -48,6 +49,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a benchmark item."""
+    whole_texts(spark)
     found = decontamination.contained_items(docs.select("doc_id", "text", F.xxhash64("text").alias("doc")),
                                             read_table(spark, sf_dir, "benchmark"), keep=("doc_id", "doc"))
     hit = cut_lineage(found.select(F.col("doc_id").alias("__id"), F.col("doc").alias("__doc")).distinct())
@@ -56,6 +58,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packs what is left into sequences of 2048 tokens (the columns of op9)."""
+    whole_texts(spark)
     return packing.pack(docs)
 
 

@@ -11,7 +11,17 @@ from pyspark.sql import functions as F
 from spreadlens.session import read_table
 
 
+#: Rows of an Arrow batch while whole texts go to Python: the default of 10,000 holds hundreds of MB in a worker.
+BATCH_ROWS = 2000
+
+
+def whole_texts(spark: SparkSession) -> None:
+    """Hands texts to Python in batches of BATCH_ROWS rows from now on."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    whole_texts(spark)
     return read_table(spark, sf_dir, "documents")
 
 
