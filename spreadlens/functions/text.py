@@ -109,3 +109,8 @@ def unigrams_and_bigrams(tokens: Column) -> Column:
                     lambda i: F.concat(F.element_at(tokens, i), F.lit(" "), F.element_at(tokens, i + 1))),
     ).otherwise(F.array().cast("array<string>"))
     return F.concat(tokens, bigrams)
+
+
+def snippet(text: Column, n: int = 200) -> Column:
+    """The first ``n`` characters, with ``...`` where something was cut off."""
+    return F.when(F.length(text) > n, F.concat(F.substring(text, 1, n), F.lit("..."))).otherwise(text)

@@ -305,6 +305,37 @@ def cascade_metrics(activation: DataFrame, articles: DataFrame) -> DataFrame:
                     "time_to_max_width", F.col("cascade_depth").alias("total_time_steps")))
 
 
+# ------------------------------------------------------- observed cascades (D3, levels)
+
+def observed_levels(tweets: DataFrame, interactions: DataFrame) -> DataFrame:
+    """(article_id, user_id, level) of every article's observed cascade.
+
+    Level 0 are the users who posted the article; a user who retweeted or replied
+    to a member within the article stands one level below the nearest member.  All
+    articles expand together, one round for each level; the loop ends when a round
+    reaches nobody new.  Users who only interact with non-members are not reached.
+    """
+    roots = tweets.where(F.col("kind") == "post").select("article_id", "user_id").distinct()
+    links = cut_lineage(interactions.where(F.col("kind").isin("retweet", "reply") & (F.col("src") != F.col("dst")))
+                        .select("article_id", F.col("dst").alias("user_id"), F.col("src").alias("child")).distinct())
+    frontier = cut_lineage(roots.withColumn("level", F.lit(0).cast("bigint")))
+    reached = frontier
+    while not frontier.isEmpty():
+        found = (links.join(frontier, ["article_id", "user_id"])
+                 .select("article_id", F.col("child").alias("user_id"), (F.col("level") + 1).alias("level")).distinct())
+        frontier = cut_lineage(found.join(reached, ["article_id", "user_id"], "left_anti"))
+        reached = reached.unionByName(frontier)
+    return reached
+
+
+def observed_metrics(levels: DataFrame, tweets: DataFrame, articles: DataFrame) -> DataFrame:
+    """Size, depth, width and spread rate of the observed cascades, with whether any tweet of the article has a time."""
+    timed = tweets.groupBy("article_id").agg(F.max(F.col("ts").isNotNull()).alias("has_timestamps"))
+    return (cascade_metrics(levels.withColumnRenamed("level", "step"), articles)
+            .drop("total_time_steps").withColumnRenamed("time_to_max_width", "widest_level")
+            .join(timed, "article_id", "left").withColumn("has_timestamps", F.coalesce("has_timestamps", F.lit(False))))
+
+
 def sample_articles(articles: DataFrame, n: int, seed: int = 42) -> DataFrame:
     """Deterministic sample of ``n`` articles: order by md5(seed|news_id)."""
     return (articles.withColumn("_h", F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("news_id"))))

@@ -153,3 +153,26 @@ def tweet_dupes_global(raw: DataFrame) -> DataFrame:
     pairs = article_tweet_pairs(raw).distinct()
     return (pairs.groupBy("tweet_id").agg(F.count(F.lit(1)).alias("n_articles"))
             .where(F.col("n_articles") > 1))
+
+
+def validation_report(news: DataFrame, metrics: DataFrame, raw: DataFrame, bip_nodes: DataFrame, bip_edges: DataFrame,
+                      sim_nodes: DataFrame, sim_edges: DataFrame) -> DataFrame:
+    """(check, n): every data check in one table, a row for each check even if nothing fails it.
+
+    ``bip_nodes`` has node_id and bipartite, ``sim_nodes`` node_id, ``sim_edges``
+    src, dst and weight (missing means 1).  Each check is an aggregate that
+    combines on the map side.
+    """
+    rows = lambda df, name: df.agg(F.count(F.lit(1)).cast("bigint").alias("n")).select(F.lit(name).alias("check"), "n")
+    one_count = metrics.groupBy("news_id").agg(F.max("tweet_count").alias("tweet_count"))
+    alone = lambda side: isolates(bip_nodes.where(F.col("bipartite") == side).select("node_id"), bip_edges)
+    repeats = (news.groupBy("news_id").agg(F.count(F.lit(1)).alias("c")).agg(F.coalesce(F.sum(F.col("c") - 1), F.lit(0)).cast("bigint").alias("n"))
+               .select(F.lit("news_id_duplicates").alias("check"), "n"))
+    parts = [rows(tweet_dupes(raw), "per_article_tweet_dupes"), rows(tweet_dupes_global(raw), "global_tweet_dupes"),
+             rows(alone("article"), "bipartite_articles_isolates"), rows(alone("tweet"), "bipartite_tweets_isolates"),
+             rows(bip_edges, "bipartite_edges"), rows(degree_mismatch(one_count, bip_edges), "bipartite_degree_mismatch"),
+             rows(isolates(sim_nodes, sim_edges), "similarity_isolates"), rows(sim_edges, "similarity_edges"),
+             rows(self_loops(sim_edges), "similarity_selfloops"), rows(bad_weights(sim_edges), "similarity_bad_weights")]
+    for part in parts:
+        repeats = repeats.unionByName(part)
+    return repeats

@@ -184,3 +184,21 @@ def top_k(df: DataFrame, score: str, k: int, id_col: str, keep: list[str] | None
     ordered = df.orderBy(F.col(score).desc(), F.col(id_col).asc()).limit(k)
     w = Window.orderBy(F.col(score).desc(), F.col(id_col).asc())
     return ordered.select(F.row_number().over(w).cast("bigint").alias("rank"), id_col, *(keep or []), score)
+
+
+def density(hist: DataFrame, by: str) -> DataFrame:
+    """A histogram with ``density``: shares of the group's rows by bin width (bounded by groups x bins rows)."""
+    total = F.sum("count").over(Window.partitionBy(by))
+    return hist.withColumn("density", F.col("count") / (total * (F.col("bin_hi") - F.col("bin_lo"))))
+
+
+def quantile(df: DataFrame, value: str, q: float) -> DataFrame:
+    """One row: the exact, interpolated quantile; values are counted first, so it holds distinct values only."""
+    counts = df.groupBy(F.col(value).alias("x")).agg(F.count(F.lit(1)).alias("n"))
+    return counts.agg(F.percentile("x", q, F.col("n")).alias("quantile"))
+
+
+def share_within(df: DataFrame, group: str, col: str) -> DataFrame:
+    """(group, col, n, pct): rows of each value and their share of the group in percent."""
+    n = df.groupBy(group, col).agg(F.count(F.lit(1)).alias("n"))
+    return n.withColumn("pct", 100.0 * F.col("n") / F.sum("n").over(Window.partitionBy(group)))

@@ -168,6 +168,42 @@ def tweet_interactions(flat: DataFrame) -> DataFrame:
     return rt.unionByName(rp).unionByName(mn).where(F.col("dst").isNotNull())
 
 
+RETWEET_ARRAY = T.ArrayType(T.StructType([
+    T.StructField("user", _ID), T.StructField("created_at", T.StringType()),
+    T.StructField("retweeted_status", T.StructType([
+        T.StructField("id_str", T.StringType()), T.StructField("id", T.LongType()), T.StructField("user", _ID)]))]))
+
+
+def read_retweets(spark: SparkSession, root: str, whole_files: bool = True) -> DataFrame:
+    """JSON arrays of retweets -> (retweeter_id, original_user_id, tweet_id, created_at, path).
+
+    One array a file, or one a line with ``whole_files=False``.  Text that is not an
+    array gives nothing, nor does an entry without both users; ``tweet_id`` is the
+    retweeted tweet's, null if it has none."""
+    text = spark.read.text(root, wholetext=whole_files, recursiveFileLookup=True)
+    entry = (text.where(F.ltrim("value").startswith("["))
+             .select(F.explode(F.from_json("value", RETWEET_ARRAY)).alias("rt"), F.col("_metadata.file_path").alias("path")))
+    some = lambda c: F.when(c != "", c)
+    return entry.select(
+        some(_id("rt.user")).alias("retweeter_id"), some(_id("rt.retweeted_status.user")).alias("original_user_id"),
+        some(_id("rt.retweeted_status")).alias("tweet_id"),
+        F.try_to_timestamp(F.expr("substring(rt.created_at, 5)"), F.lit(TWITTER_TIME_PARSE)).alias("created_at"),
+        "path").where("retweeter_id is not null and original_user_id is not null")
+
+
+def retweet_interactions(retweets: DataFrame) -> DataFrame:
+    """Retweets of the arrays in the shape of ``tweet_interactions``."""
+    return retweets.select(F.col("retweeter_id").alias("src"), F.col("original_user_id").alias("dst"),
+                           F.lit("retweet").alias("kind"), "tweet_id", F.col("created_at").alias("ts"))
+
+
+def path_fields(files: DataFrame, path: str = "path") -> DataFrame:
+    """Adds domain, label_name and article_id from ``.../domain/label/article/(tweets|retweets)/file``, null elsewhere."""
+    pattern = "([^/]+)/([^/]+)/([^/]+)/(?:tweets|retweets)/[^/]+$"
+    return files.withColumns({name: F.nullif(F.regexp_extract(path, pattern, i + 1), F.lit(""))
+                              for i, name in enumerate(("domain", "label_name", "article_id"))})
+
+
 # ----------------------------------------------------------------------------- sinks
 
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by: list[str] | None = None) -> None:
