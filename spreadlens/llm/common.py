@@ -11,13 +11,14 @@ from pyspark.sql import functions as F
 from spreadlens.session import read_table
 
 
-#: Rows of an Arrow batch while whole texts go to Python: the default of 10,000 holds hundreds of MB in a worker.
-BATCH_ROWS = 2000
+#: Rows and bytes of an Arrow batch while whole texts go to Python: the defaults, 10,000 and 64 MB, hold hundreds of MB in a worker.
+BATCH_ROWS, BATCH_BYTES = 2000, 4 << 20
 
 
 def whole_texts(spark: SparkSession) -> None:
-    """Hands texts to Python in batches of BATCH_ROWS rows from now on."""
+    """Hands texts to Python in batches of at most BATCH_ROWS rows and, but for one longer row, about BATCH_BYTES from now on."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,7 +71,7 @@ def same_row(id_col: str, doc_col: str, text: str = "text") -> Column:
 class WordHash(dict):
     """word -> stable hash below ``size``; forgets its words when it holds too many."""
 
-    def __init__(self, size: int, most: int = 400_000):
+    def __init__(self, size: int, most: int = 100_000):
         super().__init__()
         self.size, self.most = size, most
 
@@ -84,7 +85,7 @@ class WordHash(dict):
 class WordHash64(dict):
     """word -> XXH64; forgets its words when it holds too many."""
 
-    def __init__(self, most: int = 400_000):
+    def __init__(self, most: int = 100_000):
         super().__init__()
         self.most = most
 
