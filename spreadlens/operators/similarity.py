@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import unigrams_and_bigrams, vector_tokens
+from ..functions.text import label_name, snippet, unigrams_and_bigrams, vector_tokens
 from ..session import spread
 
 
@@ -179,6 +179,27 @@ def similar_to(vec: DataFrame, news_id: str, top: int = 5, id_col: str = "news_i
     return s.orderBy(F.col("similarity").desc(), F.col(id_col).asc()).limit(top)
 
 
+def dense_similar_to(vectors: DataFrame, news_id: str, top: int = 5, col: str = "embedding") -> DataFrame:
+    """Top documents by cosine with one document's dense vector (news_id, similarity).
+
+    That one vector is a literal; a zero vector is similar to nothing (0)."""
+    own = vectors.where(F.col("news_id") == news_id).select(F.col(col).cast("array<double>").alias("v")).first()
+    if own is None or own["v"] is None:
+        return vectors.select("news_id", F.lit(0.0).alias("similarity")).where(F.lit(False))
+    q = F.lit(list(own["v"]))
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    v = vectors.where(F.col("news_id") != news_id).select("news_id", F.col(col).cast("array<double>").alias("v"))
+    norm = F.sqrt(dot(F.col("v"), F.col("v"))) * F.sqrt(dot(q, q))
+    s = v.select("news_id", F.round(F.when(norm > 0, dot(F.col("v"), q) / norm).otherwise(0.0), SIM_DECIMALS).alias("similarity"))
+    return s.orderBy(F.col("similarity").desc(), F.col("news_id").asc()).limit(top)
+
+
+def with_articles(found: DataFrame, articles: DataFrame) -> DataFrame:
+    """``found`` (with news_id) and each article's label name, source and first 200 characters."""
+    shown = articles.select("news_id", label_name(F.col("label")).alias("label_name"), "source", snippet(F.col("text")).alias("snippet"))
+    return found.join(shown, "news_id", "left")
+
+
 def query_topk(qvec: DataFrame, vec: DataFrame, top: int = 5) -> DataFrame:
     """Top ``top`` documents for each query vector: (query_id, rank, news_id, similarity).
 

@@ -8,6 +8,7 @@ from ..operators import graph as G
 from ..operators import similarity as S
 from ..session import read_table
 from ..sources import adapters as A
+from .q_graph import LABEL_NAME_SQL
 from .q_profile import news_clean
 from .registry import query, sql_view
 from .sqlviews import STOP_LIST_SQL, sql_clean
@@ -192,6 +193,18 @@ def q_dense_knn(spark, d):
     return dense_knn_df(spark, d)
 
 
+@query("dense_similar_to_doc", f"""
+    SELECT CAST(row_number() OVER (ORDER BY similarity DESC, news_id) AS BIGINT) AS rank, news_id, similarity FROM (
+        SELECT b.news_id, round(list_inner_product(a.v, b.v), {R}) AS similarity
+        FROM unit_vectors a JOIN unit_vectors b ON a.news_id <> b.news_id WHERE a.news_id = '{PROBE_DOC}') s
+    ORDER BY similarity DESC, news_id LIMIT {LOOKUP_TOP}""")
+def q_dense_similar_to_doc(spark, d):
+    from pyspark.sql import Window
+    top = S.dense_similar_to(A.vectors(spark, d), PROBE_DOC, LOOKUP_TOP)
+    w = Window.orderBy(F.col("similarity").desc(), F.col("news_id").asc())
+    return top.select(F.row_number().over(w).cast("bigint").alias("rank"), "news_id", "similarity")
+
+
 @query("dense_similarity_graph", """
     SELECT least(src, dst) AS src, greatest(src, dst) AS dst, max(weight) AS weight FROM knn_dense
     GROUP BY least(src, dst), greatest(src, dst)""")
@@ -201,12 +214,20 @@ def q_dense_similarity_graph(spark, d):
 
 @query("query_topk", "SELECT query_id, rank, news_id, similarity FROM q_top")
 def q_query_topk(spark, d):
-    _, vocab = tfidf_df(spark, d)
-    vec, _ = tfidf_df(spark, d)
+    vec, vocab = tfidf_df(spark, d)
     qv = S.transform_texts(queries_df(spark, d), vocab)
     return S.query_topk(qv, vec, LOOKUP_TOP)
 
 
+@query("lookup_results", f"""
+    SELECT t.query_id, t.rank, t.news_id, t.similarity, {LABEL_NAME_SQL} AS label_name, a.source,
+           CASE WHEN length(a.text) > 200 THEN left(a.text, 200) || '...' ELSE a.text END AS snippet
+    FROM q_top t LEFT JOIN articles a ON t.news_id = a.news_id""")
+def q_lookup_results(spark, d):
+    return (S.with_articles(q_query_topk(spark, d), A.articles(spark, d))
+            .select("query_id", "rank", "news_id", "similarity", "label_name", "source", "snippet"))
+
+
 @query("knn_vote", """
     SELECT b.item_id AS query_id,
            CASE WHEN coalesce(v.total, 0) = 0 THEN 'Unknown' WHEN v.fake_score / v.total > v.real_score / v.total

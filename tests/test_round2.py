@@ -79,3 +79,46 @@ def test_tweet_json_ids_and_self_edges(spark, tmp_path):
     flat = S.read_tweets(spark, str(tmp_path))
     got = sorted((r["src"], r["dst"], r["kind"]) for r in S.tweet_interactions(flat).collect())
     assert got == [("1", "1", "reply"), ("1", "2", "mention"), ("3", "1", "retweet")]
+
+
+def test_weighted_pagerank(spark):
+    edges = spark.createDataFrame([("g", 1, 2, 3.0), ("g", 1, 3, 1.0), ("g", 2, 1, None), ("g", 3, 1, 0.0)],
+                                  "graph string, src long, dst long, w double")
+    nodes = edges.select("graph", F.col("src").alias("node_id")).distinct()
+    got = {r["node_id"]: r["pagerank"] for r in L.pagerank(spark, nodes, edges, tol=1e-10, weight_col="w").collect()}
+    x = {1: 1 / 3, 2: 1 / 3, 3: 1 / 3}
+    for _ in range(300):  # node 3 has no outgoing weight: it is dangling
+        x = {1: 0.05 + 0.85 * (x[2] + x[3] / 3), 2: 0.05 + 0.85 * (0.75 * x[1] + x[3] / 3), 3: 0.05 + 0.85 * (0.25 * x[1] + x[3] / 3)}
+    assert all(abs(got[n] - x[n]) < 1e-6 for n in x)
+
+
+def test_hits_without_normalising(spark):
+    nodes, edges = _graph(spark, [(1, 3), (2, 3), (2, 4)])
+    plain = {r["node_id"]: r for r in L.hits(spark, nodes, edges, normalized=False).collect()}
+    unit = {r["node_id"]: r for r in L.hits(spark, nodes, edges).collect()}
+    assert max(r["authority"] for r in plain.values()) == 1.0
+    assert abs(plain[2]["hub"] - plain[3]["authority"] - plain[4]["authority"]) < 1e-12
+    total = sum(r["authority"] for r in plain.values())
+    assert all(abs(plain[n]["authority"] / total - unit[n]["authority"]) < 1e-9 for n in plain)
+
+
+def test_dense_lookup_with_odd_vectors(spark):
+    from spreadlens.operators import similarity as S2
+    v = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [2.0, 0.0]), ("c", [0.0, 0.0]), ("d", [1.0, 1.0])], "news_id string, embedding array<float>")
+    got = [(r["news_id"], round(r["similarity"], 6)) for r in S2.dense_similar_to(v, "a").collect()]
+    assert got == [("b", 1.0), ("d", 0.707107), ("c", 0.0)]
+    assert S2.dense_similar_to(v, "none").count() == 0
+
+
+def test_lookup_shows_articles(spark):
+    from spreadlens.operators import similarity as S2
+    found = spark.createDataFrame([(1, "a"), (1, "gone")], "query_id long, news_id string")
+    arts = spark.createDataFrame([("a", "x" * 201, "s", 0)], "news_id string, text string, source string, label int")
+    got = {r["news_id"]: (r["label_name"], r["source"], r["snippet"]) for r in S2.with_articles(found, arts).collect()}
+    assert got == {"a": ("fake", "s", "x" * 200 + "..."), "gone": (None, None, None)}
+
+
+def test_row_index_stands_in_for_a_missing_id(spark, tmp_path):
+    (tmp_path / "site_fake.csv").write_text('title\n"one\nline"\ntwo\nthree\n')
+    got = sorted((r["news_id"], r["text"], r["label"]) for r in S.load_news(spark, str(tmp_path)).collect())
+    assert got == [("0", "one\nline", 0), ("1", "two", 0), ("2", "three", 0)]
