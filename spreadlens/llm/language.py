@@ -10,6 +10,8 @@ from spreadlens.llm.common import documents, held_out
 FOLD, REST = 4, 2
 SEGMENT = 256
 PHRASE, PAD = 1 << 30, 0
+#: Ids of a language (letters, space, two more) and cells of all languages together up to which transitions are tables.
+DENSE, DENSE_CELLS = 64, 16 << 20
 
 
 def _suffix_automaton(ids: list[int]) -> list[dict[int, int]]:
@@ -44,38 +46,53 @@ class CrossParser:
     """One automaton for each language; texts are cut greedily into longest parts of the language's sample.
 
     Characters are lower-cased; runs of anything but letters are one space; 0 pads,
-    1 is the space, the last id a letter that no sample holds.
+    1 is the space, the last id a letter that no sample holds.  Each language
+    numbers its own letters: up to DENSE of them make a table of all states and
+    letters, more a sorted array of the transitions that there are.
     """
 
     def __init__(self, samples: dict[str, str]):
         self.languages = sorted(samples)
-        seen = sorted({c for t in samples.values() for c in t.lower() if c.isalpha()})[:250]
+        seen = sorted({c for t in samples.values() for c in t.lower() if c.isalpha()})
         self.unknown = len(seen) + 2
-        self.width = self.unknown + 1
-        letters = {ord(c): i + 2 for i, c in enumerate(seen)}
-        self.letters = letters
-        self.tables, self.cost = [], []
+        self.kind = np.uint16 if self.unknown < 1 << 16 else np.int32
+        self.letters = {ord(c): i + 2 for i, c in enumerate(seen)}
         self.lut = None
+        self.tables, self.cost = [], []
+        room = DENSE_CELLS
         for lang in self.languages:
-            ids = self.ids(samples[lang]).tolist()
-            step = _suffix_automaton(ids)
-            table = np.zeros((len(step), self.width), np.int32)
-            for c, to in step[0].items():
-                table[:, c] = to * self.width  # a phrase that can't go on starts anew with this character
-            table |= PHRASE
-            for s in range(1, len(step)):
-                for c, to in step[s].items():
-                    table[s, c] = to * self.width
-            table[:, PAD] = 0
-            self.tables.append(table.ravel())
+            ids = self.ids(samples[lang])
+            own = np.unique(np.append(ids, 1).astype(self.kind))
+            absent = len(own) + 1
+            local = np.full(self.unknown + 1, absent, self.kind)
+            local[PAD], local[own] = PAD, np.arange(1, absent)
+            step = _suffix_automaton(local[ids].tolist())
+            width = absent + 1
+            if width <= DENSE and len(step) * width <= room:
+                room -= len(step) * width
+                table = np.zeros((len(step), width), np.int32)
+                for c, to in step[0].items():
+                    table[:, c] = to * width  # a phrase that can't go on starts anew with this character
+                table |= PHRASE
+                for s in range(1, len(step)):
+                    for c, to in step[s].items():
+                        table[s, c] = to * width
+                table[:, PAD] = 0
+                self.tables.append((local, width, table.ravel(), None, None))
+            else:
+                start = np.zeros(width, np.int32)
+                for c, to in step[0].items():
+                    start[c] = to
+                keys, to = np.array(sorted((s * width + c, t) for s in range(1, len(step)) for c, t in step[s].items()) + [(1 << 62, 0)], np.int64).T
+                self.tables.append((local, width, start, keys.copy(), to.astype(np.int32)))
             self.cost.append(np.log2(max(4, len(ids))))
         self.cost = np.array(self.cost)
         self.lut = None  # made anew in each task
 
     def ids(self, text: str) -> np.ndarray:
         if self.lut is None:
-            self.lut = np.ones(0x110000, np.uint8)
-            for c in range(0x32000):
+            self.lut = np.ones(0x110000, self.kind)
+            for c in range(0x34000):
                 if chr(c).isalpha():
                     self.lut[c] = self.letters.get(c, self.unknown)
         out = self.lut[np.frombuffer(text.lower().encode("utf-32-le", "replace"), np.uint32)]
@@ -87,20 +104,28 @@ class CrossParser:
         out = np.zeros((len(texts), len(self.languages)))
         if not sum(sizes):
             return out
-        flat = np.zeros(sum(sizes) * SEGMENT, np.uint8)
+        flat = np.zeros(sum(sizes) * SEGMENT, self.kind)
         at = np.concatenate([[0], np.cumsum(sizes)])
         for i, t in enumerate(texts):
             flat[at[i] * SEGMENT:at[i] * SEGMENT + len(t)] = t
         steps = np.ascontiguousarray(flat.reshape(-1, SEGMENT).T)
         live = [int(n) for n in (steps != PAD).any(1)]
-        for k, table in enumerate(self.tables):
-            state, count = np.zeros(steps.shape[1], np.int32), np.zeros(steps.shape[1], np.int32)
+        for k, (local, width, table, keys, to) in enumerate(self.tables):
+            state, count = np.zeros(steps.shape[1], np.int64 if keys is not None else np.int32), np.zeros(steps.shape[1], np.int32)
             for c, any_left in zip(steps, live):
                 if not any_left:
                     break
-                got = table[state + c]
-                count += got >> 30
-                state = got & (PHRASE - 1)
+                c = local[c]
+                if keys is None:
+                    got = table[state + c]
+                    count += got >> 30
+                    state = got & (PHRASE - 1)
+                else:
+                    want = state * width + c
+                    found = np.searchsorted(keys, want)
+                    goes_on = keys[found] == want
+                    count += ~goes_on & (c != PAD)
+                    state = np.where(goes_on, to[found], table[c]).astype(np.int64)
             out[:, k] = np.bincount(np.repeat(np.arange(len(texts)), sizes), count, len(texts))
         return out
 
@@ -154,7 +179,7 @@ def identify(docs: DataFrame, model: CrossParser, *keep: str) -> DataFrame:
             while i < len(texts):
                 some, total = [], 0
                 while i < len(texts) and total < 3_000_000:
-                    ids = model.ids(texts[i] or "") if model.languages else np.zeros(0, np.uint8)
+                    ids = model.ids(texts[i] or "") if model.languages else np.zeros(0, np.uint16)
                     some.append(ids)
                     total += len(ids)
                     i += 1

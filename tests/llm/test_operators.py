@@ -266,6 +266,31 @@ def test_cross_parsing_counts_longest_matches():
     assert model.phrases([np.zeros(0, np.uint8)]).tolist() == [[0, 0]]
 
 
+def test_languages_with_many_letters():
+    """Every letter of a sample counts: zh, ja and ko, whose letters lie beyond the first few hundred, differ by letters and not by run lengths."""
+    rng = random.Random(3)
+    alphabets = {"ru": range(0x430, 0x450), "ja": [*range(0x3041, 0x3097), *range(0x4E00, 0x4F00)], "zh": range(0x5000, 0x5700), "ko": range(0xAC00, 0xB200), "en": range(97, 123)}
+    words = {lang: ["".join(chr(rng.choice(list(a))) for _ in range(4)) for _ in range(300)] for lang, a in alphabets.items()}
+    text = lambda lang, n: " ".join(rng.choice(words[lang]) for _ in range(n))
+    samples = {lang: text(lang, 1500) for lang in alphabets}
+    model = language.CrossParser(samples)
+    texts = [(lang, text(lang, 40)) for lang in alphabets for _ in range(10)]
+    parsed = model.phrases([model.ids(t) for _, t in texts])
+    assert [model.languages[int(b.argmin())] for b in parsed * model.cost] == [lang for lang, _ in texts]
+    for (_, t), counts in zip(texts[::10], parsed[::10]):
+        for lang, n in zip(model.languages, counts):
+            by_hand = 0
+            for s in range(0, len(t), language.SEGMENT):
+                part, i = t[s:s + language.SEGMENT], 0
+                while i < len(part):
+                    k = 1
+                    while i + k < len(part) and part[i:i + k + 1] in samples[lang]:
+                        k += 1
+                    i, by_hand = i + k, by_hand + 1
+            assert n == by_hand
+    assert any(t[3] is not None for t in model.tables) and any(t[3] is None for t in model.tables)
+
+
 def test_edits_equal_counting_anew():
     count, rng = tokencounts.Counter(tokencounts.ranks_file()), random.Random(5)
     parts = ["foo", "bar", " ", " ", "\n", "\n\n", "12", "don't", "%", "　", "é"]
