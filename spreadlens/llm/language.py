@@ -4,8 +4,10 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from spreadlens.llm.common import documents, held_out
+from spreadlens.llm.common import counted_join, documents, held_out
+from spreadlens.session import cut_lineage
 
 FOLD, REST = 4, 2
 SEGMENT = 256
@@ -130,34 +132,46 @@ class CrossParser:
         return out
 
 
-def fit(docs: DataFrame, max_chars: int = 40_000, max_docs: int = 200, max_total: int = 200_000) -> CrossParser:
-    """Automata of bounded samples: for each language whole texts of up to ``max_chars`` characters together
-    (and ``max_total`` over all languages, dealt evenly, which bounds the tables that the tasks get), taken from about ``max_docs`` labelled rows of the training fold by a hash of their text."""
-    rows = docs.filter(~held_out(FOLD, REST)).select("lang", "text").filter("lang is not null and text is not null and lang <> ''")
-    counts = rows.groupBy("lang").count().collect()
-    if not counts:
+def fit(docs: DataFrame, max_chars: int = 40_000, max_docs: int = 200, max_total: int = 200_000, least: int = 500) -> CrossParser:
+    """Automata of bounded samples of the training fold, one for every language with a letter in its texts.
+
+    A language's distinct texts are ranked by hash, however often each occurs, and
+    fill ``max_chars`` characters (``max_total`` over all languages, dealt evenly,
+    which bounds the tables that the tasks get, but no fewer than ``least``) in this
+    order, at most ``max_docs`` of them.  A text gives a quarter of the characters at
+    most, or an even share if there are fewer than four; of a longer one a part is cut out.
+    """
+    rank = F.pmod(F.xxhash64("text"), F.lit(1 << 62)).alias("rank")
+    rows = (docs.filter(~held_out(FOLD, REST)).select("doc_id", "lang", "text")
+            .filter("lang is not null and lang <> ''").filter(F.col("text").rlike(r"\p{L}")))
+    thin = cut_lineage(rows.select("doc_id", "lang", rank))
+    # texts under a share of the ranks that holds about four times max_docs of a language's, and its first in any case
+    seen = cut_lineage(thin.groupBy("lang").agg(F.approx_count_distinct("rank").alias("n"), F.min("rank").alias("first")))
+    languages = seen.count()
+    if not languages:
         return CrossParser({})
-    max_chars = min(max_chars, max_total // len(counts))
-    share = F.coalesce(*(F.when(F.col("lang") == r["lang"], F.lit(min(1.0, max_docs / r["count"]))) for r in counts)) \
-        if len(counts) < 200 else F.lit(min(1.0, max_docs * len(counts) / sum(r["count"] for r in counts)))
-    picked = rows.filter(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < share * (1 << 30)).filter(F.length("text") <= max_chars // 2)
-    texts: dict[str, list[str]] = {}
-    for lang, text in picked.collect():
-        texts.setdefault(lang, []).append(text)
-    samples = {}
-    for lang, some in texts.items():
-        held, n = [], 0
-        for t in sorted(set(some), key=lambda t: (hash_of(t), t)):
-            if n + len(t) <= max_chars:
-                held.append(t)
-                n += len(t)
-        samples[lang] = " ".join(held)
-    return CrossParser(samples)
-
-
-def hash_of(text: str) -> int:
-    import xxhash
-    return xxhash.xxh64_intdigest(text)
+    max_chars = max(least, min(max_chars, max_total // languages))
+    under = F.least(F.lit(1.0), F.lit(4.0 * max_docs) / F.col("n")) * float(1 << 62)
+    # one row for each text, the one with the least doc_id
+    some = (counted_join(thin, seen, ["lang"]).filter((F.col("rank") <= under) | (F.col("rank") == F.col("first")))
+            .groupBy("lang", "rank").agg(F.min("doc_id").alias("id")))
+    by_lang = Window.partitionBy("lang")
+    picked = cut_lineage(some.withColumn("nth", F.row_number().over(by_lang.orderBy("rank"))).withColumn("texts", F.count("*").over(by_lang))
+                         .filter(F.col("nth") <= max_docs).select(F.col("lang").alias("of"), F.col("rank").alias("at"), "id", "texts"))
+    found = counted_join(rows.withColumn("rank", rank), picked,
+                         (F.col("lang") == F.col("of")) & (F.col("rank") == F.col("at")) & F.col("doc_id").eqNullSafe(F.col("id")))
+    plain = F.trim(F.regexp_replace("text", r"[^\p{L}]+", " "))
+    part = F.floor(F.lit(max_chars) / F.least(F.lit(4), F.col("texts"))).cast("int")
+    start = F.pmod(F.col("rank"), F.greatest(F.length("plain") - F.col("part") + 1, F.lit(1))).cast("int") + 1
+    cut = (found.select("lang", "rank", plain.alias("plain"), part.alias("part"))
+           .select("lang", "rank", F.substring("plain", start, F.col("part")).alias("piece")).dropDuplicates(["lang", "rank"]))
+    before = F.coalesce(F.sum(F.length("piece")).over(by_lang.orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    held = (cut.withColumn("before", before).filter(F.col("before") < max_chars)
+            .select("lang", "rank", F.substring("piece", F.lit(1), (F.lit(max_chars) - F.col("before")).cast("int")).alias("piece")))
+    samples: dict[str, list[str]] = {}
+    for lang, _, piece in sorted(held.collect()):
+        samples.setdefault(lang, []).append(piece)
+    return CrossParser({lang: " ".join(pieces) for lang, pieces in samples.items()})
 
 
 def identify(docs: DataFrame, model: CrossParser, *keep: str) -> DataFrame:

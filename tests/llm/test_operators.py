@@ -291,6 +291,25 @@ def test_languages_with_many_letters():
     assert any(t[3] is not None for t in model.tables) and any(t[3] is None for t in model.tables)
 
 
+def test_every_language_is_learned(spark):
+    """Languages whose texts are all long, that are few among many rows and languages, or that are mostly copies of one text."""
+    rng = random.Random(8)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    def words(lang):
+        r = random.Random(lang)
+        return ["".join(r.choice(letters) for _ in range(5)) for _ in range(12)]
+    text = lambda lang, n: " ".join(rng.choice(words(lang)) for _ in range(n))
+    rows = [(lang, text(lang, 6000)) for lang in ("long", "longer") for _ in range(6)]
+    rows += [("copies", "one text that is copied everywhere")] * 3000 + [("copies", text("copies", 10)) for _ in range(40)]
+    rows += [(f"l{k}", text(f"l{k}", 30)) for k in range(210) for _ in range(4)] + [("l0", text("l0", 3)) for _ in range(3000)]
+    df = spark.createDataFrame([(i, t, lang) for i, (lang, t) in enumerate(rows)], "doc_id long, text string, lang string")
+    model = language.fit(df)
+    trained = {r["lang"] for r in df.filter(~language.held_out(language.FOLD, language.REST)).select("lang").distinct().collect()}
+    assert set(model.languages) == trained and {"long", "longer", "copies", "l0"} <= trained
+    new = spark.createDataFrame([(k, text(lang, 20), lang) for k, lang in enumerate(["long", "longer", "copies", "l0", "l7"])], "doc_id long, text string, lang string")
+    assert all(r["lang_pred"] == r["lang"] for r in language.identify(new, model, "doc_id", "lang").collect())
+
+
 def test_edits_equal_counting_anew():
     count, rng = tokencounts.Counter(tokencounts.ranks_file()), random.Random(5)
     parts = ["foo", "bar", " ", " ", "\n", "\n\n", "12", "don't", "%", "　", "é"]
