@@ -98,15 +98,79 @@ def _near_earlier(docs: DataFrame, occurrences: DataFrame) -> DataFrame:
     return best.join(mine, "id").join(theirs, "found").filter(within_one_edit(F.col("a"), F.col("b"))).select("h1", "h2").distinct()
 
 
-def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+def _reach(x: Column, size: int, f) -> Column:
+    """An array's runs of ``size`` elements, each put together by ``f`` from two that overlap or meet."""
+    def doubled(step):
+        def of(v):
+            left = F.size(v) - step
+            return F.zip_with(F.slice(v, F.lit(1), left), F.slice(v, F.lit(1 + step), left), f)
+        return of
+    s = 1
+    while s < size:
+        step = min(s, size - s)
+        x = F.transform(F.array(x), doubled(step))[0]  # binds x, which is then taken once
+        s += step
+    return x
+
+
+def _as_chars(words: Column, known: Column) -> Column:
+    """A text with one character for each word: its place among the ``known`` words."""
+    code = F.transform(words, lambda w: F.lpad(F.hex(F.array_position(known, w) + F.lit(0x10000)), 8, "0"))
+    return F.decode(F.unhex(F.array_join(code, "")), "UTF-32")
+
+
+def _near_earlier_long(docs: DataFrame, near: DataFrame, words_per_edit: int) -> DataFrame:
+    """h1, h2 of the distinct lines that have an earlier one within an edit for each ``words_per_edit`` words of the longer, two at least.
+
+    Such two lines share a run of 2 (words_per_edit - 1) / 3 words, as j edits leave
+    j + 1 runs of j words_per_edit - j words or more.  So of every window of a line the
+    least hash of its shingles is taken, window and shingle together as long as that
+    run: they share one.  Lines that are ``near`` already are only compared with.
+    """
+    run = 2 * (words_per_edit - 1) // 3
+    shingle = run // 2
+    bound = lambda a, b: F.greatest(F.lit(1), F.floor(F.greatest(a, b) / words_per_edit)).cast("int")
+    each = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).select(_order().alias("ord"), _words(F.col("line")).alias("words"))
+    long = each.withColumn("n", F.size("words")).filter(F.col("n") >= 2 * words_per_edit - 2)
+    hashes = _reach(F.transform("words", lambda w: F.xxhash64(w)), shingle, lambda x, y: F.xxhash64(x, y))
+    flat = cut_lineage(long.select(*_hashes(), "n", "ord", F.array_distinct(_reach(hashes, run - shingle + 1, lambda x, y: F.least(x, y))).alias("keys"))
+                       ).select("h1", "h2", "n", "ord", F.explode("keys").alias("key"))
+    shared = cut_lineage(flat.groupBy("key").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).filter("a <> b").select("key"))
+    members = cut_lineage(counted_join(flat, shared, ["key"]).groupBy("key", "h1", "h2", "n").agg(F.min("ord").alias("ord")))
+    lines = cut_lineage(members.groupBy("h1", "h2").agg(F.min("ord").alias("ord")))
+    text = cut_lineage(counted_join(long.select("ord", "words", *(h.alias(n) for h, n in zip(_hashes(), ("g1", "g2")))),
+                                    lines, ["ord"]).filter("h1 = g1 and h2 = g2").select("h1", "h2", "words").dropDuplicates(["h1", "h2"]))
+
+    def close(pairs):
+        """h1, h2 of the lines of pairs (h1, h2, n and the earlier line's e1, e2, m) that are within the bound."""
+        of = pairs.filter(F.abs(F.col("n") - F.col("m")) <= bound(F.col("n"), F.col("m"))).select("h1", "h2", "e1", "e2").distinct()
+        both = (of.join(text, ["h1", "h2"]).join(text.select(F.col("h1").alias("e1"), F.col("h2").alias("e2"), F.col("words").alias("others")), ["e1", "e2"])
+                .withColumn("known", F.array_distinct(F.concat("words", "others")))
+                .select("h1", "h2", bound(F.size("words"), F.size("others")).alias("most"),
+                        _as_chars(F.col("words"), F.col("known")).alias("x"), _as_chars(F.col("others"), F.col("known")).alias("y")))
+        return both.filter("levenshtein(x, y, most) >= 0").select("h1", "h2").distinct()
+
+    # first each line against the earliest that it shares a key with, so that most of a group of copies is settled without pairs
+    earliest = members.groupBy("key").agg(F.min(F.struct("ord", "h1", "h2", "n")).alias("e"))
+    todo = members.join(near, ["h1", "h2"], "left_anti")
+    settled = cut_lineage(close(todo.join(earliest, "key").filter(F.col("e.ord") < F.col("ord"))
+                                .select("h1", "h2", "n", F.col("e.h1").alias("e1"), F.col("e.h2").alias("e2"), F.col("e.n").alias("m"))))
+    others = members.select("key", F.col("h1").alias("e1"), F.col("h2").alias("e2"), F.col("n").alias("m"), F.col("ord").alias("before"))
+    rest = close(todo.join(settled, ["h1", "h2"], "left_anti").join(others, "key").filter("before < ord").select("h1", "h2", "n", "e1", "e2", "m"))
+    return settled.union(rest)
+
+
+def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS, words_per_edit: int | None = None) -> DataFrame:
     """doc_id, doc (xxhash64 of the text), dropped: the numbers of the lines that repeat an earlier one.
 
     A line repeats an earlier one if it equals it, or if one inserted, deleted or
     replaced word makes them equal; words are in lower case, between spaces, tabs
-    and carriage returns.  Earlier means a smaller doc_id (null is last), or a
-    smaller line number in the document; lines in one place (repeated rows) are not
-    earlier than each other.  Lines with fewer than ``min_words`` words are left
-    alone.  Null and empty texts drop nothing; documents that drop nothing have no row.
+    and carriage returns.  With ``words_per_edit`` (4 at least) the bound grows: one
+    edit for every so many words of the longer line, and never less than one.
+    Earlier means a smaller doc_id (null is last), or a smaller line number in the
+    document; lines in one place (repeated rows) are not earlier than each other.
+    Lines with fewer than ``min_words`` words are left alone.  Null and empty texts
+    drop nothing; documents that drop nothing have no row.
     """
     docs = docs.select("doc_id", "text")
     lines = (docs.select("doc_id", F.xxhash64("text").alias("doc"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
@@ -118,7 +182,11 @@ def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         "doc_id", "doc", "line_no", *_hashes(), half(t0, 0, F.lit(1)).alias("p0"), half(t0, 1, F.col("n") - t0 + 1).alias("s0"),
         F.when(other, half(t1, 0, F.lit(1))).alias("p1"), F.when(other, half(t1, 1, F.col("n") - t1 + 1)).alias("s1")))
     occurrences = thin.withColumn("ord", _order())
-    near = _near_earlier(docs, occurrences).withColumn("near", F.lit(True))
+    near = _near_earlier(docs, occurrences)
+    if words_per_edit:
+        near = cut_lineage(near)
+        near = near.union(_near_earlier_long(docs, near, words_per_edit)).distinct()
+    near = near.withColumn("near", F.lit(True))
     copied = occurrences.groupBy("h1", "h2").agg(F.min("ord").alias("first"), F.max("ord").alias("last")).filter("first < last").drop("last")
     known = cut_lineage(copied.join(near, ["h1", "h2"], "full"))
     return (counted_join(occurrences.select("doc_id", "doc", "line_no", "h1", "h2", "ord"), known, ["h1", "h2"])

@@ -353,6 +353,37 @@ def test_line_dedup_rules(spark):
     assert got == {2: [0], 3: [0], 4: [0], None: [0]}
 
 
+def words_apart(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+@pytest.mark.parametrize("per_edit,words", [(25, 400), (10, 400), (7, 6)])
+def test_line_dedup_bound_grows(spark, per_edit, words):
+    """All pairs of long lines with edits at random places, and those of a small vocabulary, against the definition."""
+    rng = random.Random(per_edit)
+    word = lambda: f"w{rng.randrange(words)}"
+    lines = []
+    for n in (8, 24, 47, 50, 51, 74, 75, 110, 130):
+        first = [word() for _ in range(n)]
+        lines.append(first)
+        for edits in (1, 2, 2, 3, 3, 5, 8, 13):
+            line = list(first)
+            for _ in range(edits):
+                at = rng.randrange(len(line))
+                line[at:at + rng.randrange(2)] = [word()] * rng.randrange(2)
+            lines.append(line)
+    rng.shuffle(lines)
+    far = {i for i, a in enumerate(lines) for b in lines[:i] if len(a) >= 5 and len(b) >= 5 and words_apart(a, b) <= max(1, max(len(a), len(b)) // per_edit)}
+    df = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(lines)], "doc_id long, text string")
+    assert {r["doc_id"] for r in linededup.repeated_lines(df, words_per_edit=per_edit).collect()} == far
+    assert {r["doc_id"] for r in linededup.repeated_lines(df).collect()} < far
+
+
 def test_odd_rows_and_empty_tables(spark, odd, none):
     lab = labels(spark)
     for docs in (odd, none):
