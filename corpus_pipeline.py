@@ -22,8 +22,8 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops lines that repeat an earlier line but for a word in 25 (one at least); documents left without a line go."""
-    return linededup.without_lines(docs, linededup.repeated_lines(docs, words_per_edit=25))
+    """Drops lines that equal an earlier line or, from five words on, repeat it but for a word in 25 (one at least); documents left without a word go."""
+    return linededup.without_lines(docs, linededup.repeated_lines(docs, words_per_edit=25, equal_words=1))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 from spreadlens.llm.common import counted_join, documents, same_row
 from spreadlens.session import cut_lineage
 
-#: Lines with fewer words are structure, not content: they are left alone.
+#: Lines with fewer words are not matched but for edits, nor by default if they are equal.
 MIN_WORDS = 5
 
 def _words(line) -> Column:
@@ -119,7 +119,7 @@ def _as_chars(words: Column, known: Column) -> Column:
     return F.decode(F.unhex(F.array_join(code, "")), "UTF-32")
 
 
-def _near_earlier_long(docs: DataFrame, near: DataFrame, words_per_edit: int) -> DataFrame:
+def _near_earlier_long(docs: DataFrame, near: DataFrame, min_words: int, words_per_edit: int) -> DataFrame:
     """h1, h2 of the distinct lines that have an earlier one within an edit for each ``words_per_edit`` words of the longer, two at least.
 
     Such two lines share a run of 2 (words_per_edit - 1) / 3 words, as j edits leave
@@ -131,7 +131,7 @@ def _near_earlier_long(docs: DataFrame, near: DataFrame, words_per_edit: int) ->
     shingle = run // 2
     bound = lambda a, b: F.greatest(F.lit(1), F.floor(F.greatest(a, b) / words_per_edit)).cast("int")
     each = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).select(_order().alias("ord"), _words(F.col("line")).alias("words"))
-    long = each.withColumn("n", F.size("words")).filter(F.col("n") >= 2 * words_per_edit - 2)
+    long = each.withColumn("n", F.size("words")).filter(F.col("n") >= max(min_words, 2 * words_per_edit - 2))
     hashes = _reach(F.transform("words", lambda w: F.xxhash64(w)), shingle, lambda x, y: F.xxhash64(x, y))
     flat = cut_lineage(long.select(*_hashes(), "n", "ord", F.array_distinct(_reach(hashes, run - shingle + 1, lambda x, y: F.least(x, y))).alias("keys"))
                        ).select("h1", "h2", "n", "ord", F.explode("keys").alias("key"))
@@ -160,7 +160,7 @@ def _near_earlier_long(docs: DataFrame, near: DataFrame, words_per_edit: int) ->
     return settled.union(rest)
 
 
-def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS, words_per_edit: int | None = None) -> DataFrame:
+def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS, words_per_edit: int | None = None, equal_words: int | None = None) -> DataFrame:
     """doc_id, doc (xxhash64 of the text), dropped: the numbers of the lines that repeat an earlier one.
 
     A line repeats an earlier one if it equals it, or if one inserted, deleted or
@@ -169,13 +169,15 @@ def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS, words_per_edit:
     edit for every so many words of the longer line, and never less than one.
     Earlier means a smaller doc_id (null is last), or a smaller line number in the
     document; lines in one place (repeated rows) are not earlier than each other.
-    Lines with fewer than ``min_words`` words are left alone.  Null and empty texts
-    drop nothing; documents that drop nothing have no row.
+    Lines with fewer than ``min_words`` words are left alone, but equal lines repeat
+    from ``equal_words`` words on, if that is given (1 at least).  Null and empty
+    texts drop nothing; documents that drop nothing have no row.
     """
     docs = docs.select("doc_id", "text")
     lines = (docs.select("doc_id", F.xxhash64("text").alias("doc"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-             .select("doc_id", "doc", "line_no", _words(F.col("line")).alias("words")).withColumn("n", F.size("words")).filter(F.col("n") >= min_words))
-    half = lambda t, tag, start: F.when(t > 0, F.xxhash64(F.lit(tag), F.slice("words", start, t)))
+             .select("doc_id", "doc", "line_no", _words(F.col("line")).alias("words")).withColumn("n", F.size("words"))
+             .filter(F.col("n") >= (min_words if equal_words is None else max(1, min(equal_words, min_words)))))
+    half = lambda t, tag, start: F.when((t > 0) & (F.col("n") >= min_words), F.xxhash64(F.lit(tag), F.slice("words", start, t)))
     t0, t1 = F.floor(F.col("n") / 2).cast("int"), F.floor((F.col("n") - 1) / 2).cast("int")
     other = F.col("n") % 2 == 0
     thin = cut_lineage(lines.select(
@@ -185,7 +187,7 @@ def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS, words_per_edit:
     near = _near_earlier(docs, occurrences)
     if words_per_edit:
         near = cut_lineage(near)
-        near = near.union(_near_earlier_long(docs, near, words_per_edit)).distinct()
+        near = near.union(_near_earlier_long(docs, near, min_words, words_per_edit)).distinct()
     near = near.withColumn("near", F.lit(True))
     copied = occurrences.groupBy("h1", "h2").agg(F.min("ord").alias("first"), F.max("ord").alias("last")).filter("first < last").drop("last")
     known = cut_lineage(copied.join(near, ["h1", "h2"], "full"))
@@ -195,7 +197,7 @@ def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS, words_per_edit:
 
 
 def without_lines(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """``docs`` without their ``dropped`` lines; documents that lost all their lines go.
+    """``docs`` without their ``dropped`` lines; documents that lost lines and have no word left go.
 
     The others keep every column; n_chars, if there is one, follows a changed text.
     """
@@ -206,7 +208,7 @@ def without_lines(docs: DataFrame, dropped: DataFrame) -> DataFrame:
     new = {"text": F.when(F.col("__dropped").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))}
     if "n_chars" in docs.columns:
         new["n_chars"] = F.when(F.col("__dropped").isNull(), F.col("n_chars")).otherwise(F.length(F.array_join(kept, "\n")))
-    return (both.filter("__dropped is null or size(__dropped) < size(split(text, '\\n'))")
+    return (both.filter(F.col("__dropped").isNull() | F.exists(kept, lambda x: F.size(_words(x)) > 0))
             .withColumns(new).select(*docs.columns))
 
 

@@ -44,6 +44,14 @@ def test_near_dedup_with_odd_rows(spark):
     assert sorted((r["doc_id"] or 0, r["text"] or "") for r in got) == [(0, "quite another text without an id"), (1, text), (3, "")]
 
 
+def test_line_dedup_of_short_lines(spark):
+    text = "Title\n\none two three four five six seven\nThe end"
+    rows = [(1, text, "en", "a", 1), (2, text, "en", "b", 1), (3, "title\nquite other words stand in this line\n\nthe END now", "en", "a", 1), (4, "\n \n", "en", "a", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r["doc_id"]: r["text"] for r in cp.drop_lines(spark, docs, SF).collect()}
+    assert got == {1: text, 3: "quite other words stand in this line\n\nthe END now", 4: "\n \n"}
+
+
 def test_empty_tables(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
     for _, stage in cp.STAGES:
