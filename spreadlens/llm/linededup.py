@@ -98,25 +98,25 @@ def _near_earlier(docs: DataFrame, occurrences: DataFrame) -> DataFrame:
     return best.join(mine, "id").join(theirs, "found").filter(within_one_edit(F.col("a"), F.col("b"))).select("h1", "h2").distinct()
 
 
-def _reach(x: Column, size: int, f) -> Column:
+def _runs(x: Column, size: int, f) -> Column:
     """An array's runs of ``size`` elements, each put together by ``f`` from two that overlap or meet."""
-    def doubled(step):
-        def of(v):
-            left = F.size(v) - step
-            return F.zip_with(F.slice(v, F.lit(1), left), F.slice(v, F.lit(1 + step), left), f)
-        return of
+    def joined(step):
+        return lambda v: F.transform(v, lambda y, i: f(y, F.get(v, i + step)))
     s = 1
     while s < size:
         step = min(s, size - s)
-        x = F.transform(F.array(x), doubled(step))[0]  # binds x, which is then taken once
+        x = F.transform(F.array(x), joined(step))[0]  # binds x, which is then taken once
         s += step
-    return x
+    return F.transform(F.array(x), lambda v: F.slice(v, F.lit(1), F.size(v) - (size - 1)))[0]
 
 
-def _as_chars(words: Column, known: Column) -> Column:
-    """A text with one character for each word: its place among the ``known`` words."""
-    code = F.transform(words, lambda w: F.lpad(F.hex(F.array_position(known, w) + F.lit(0x10000)), 8, "0"))
-    return F.decode(F.unhex(F.array_join(code, "")), "UTF-32")
+def _as_chars(codes: Column) -> Column:
+    """A text with one character for each number under 2^20."""
+    return F.decode(F.unhex(F.array_join(F.transform(codes, lambda c: F.lpad(F.hex(c + F.lit(0x10000)), 8, "0")), "")), "UTF-32")
+
+
+def _code(word: Column) -> Column:
+    return F.pmod(F.xxhash64(word), F.lit(1 << 20))
 
 
 def _near_earlier_long(docs: DataFrame, near: DataFrame, min_words: int, words_per_edit: int) -> DataFrame:
@@ -132,23 +132,30 @@ def _near_earlier_long(docs: DataFrame, near: DataFrame, min_words: int, words_p
     bound = lambda a, b: F.greatest(F.lit(1), F.floor(F.greatest(a, b) / words_per_edit)).cast("int")
     each = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).select(_order().alias("ord"), _words(F.col("line")).alias("words"))
     long = each.withColumn("n", F.size("words")).filter(F.col("n") >= max(min_words, 2 * words_per_edit - 2))
-    hashes = _reach(F.transform("words", lambda w: F.xxhash64(w)), shingle, lambda x, y: F.xxhash64(x, y))
-    flat = cut_lineage(long.select(*_hashes(), "n", "ord", F.array_distinct(_reach(hashes, run - shingle + 1, lambda x, y: F.least(x, y))).alias("keys"))
+    hashed = long.select(*_hashes(), "n", "ord", _runs(F.transform("words", lambda w: F.xxhash64(w)), shingle, F.xxhash64).alias("all"))
+    flat = cut_lineage(hashed.select("h1", "h2", "n", "ord", F.array_distinct(_runs(F.col("all"), run - shingle + 1, F.least)).alias("keys"))
                        ).select("h1", "h2", "n", "ord", F.explode("keys").alias("key"))
     shared = cut_lineage(flat.groupBy("key").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).filter("a <> b").select("key"))
     members = cut_lineage(counted_join(flat, shared, ["key"]).groupBy("key", "h1", "h2", "n").agg(F.min("ord").alias("ord")))
     lines = cut_lineage(members.groupBy("h1", "h2").agg(F.min("ord").alias("ord")))
     text = cut_lineage(counted_join(long.select("ord", "words", *(h.alias(n) for h, n in zip(_hashes(), ("g1", "g2")))),
-                                    lines, ["ord"]).filter("h1 = g1 and h2 = g2").select("h1", "h2", "words").dropDuplicates(["h1", "h2"]))
+                                    lines, ["ord"]).filter("h1 = g1 and h2 = g2").select("h1", "h2", "words", _as_chars(F.transform("words", _code)).alias("chars")).dropDuplicates(["h1", "h2"]))
 
     def close(pairs):
         """h1, h2 of the lines of pairs (h1, h2, n and the earlier line's e1, e2, m) that are within the bound."""
         of = pairs.filter(F.abs(F.col("n") - F.col("m")) <= bound(F.col("n"), F.col("m"))).select("h1", "h2", "e1", "e2").distinct()
-        both = (of.join(text, ["h1", "h2"]).join(text.select(F.col("h1").alias("e1"), F.col("h2").alias("e2"), F.col("words").alias("others")), ["e1", "e2"])
-                .withColumn("known", F.array_distinct(F.concat("words", "others")))
-                .select("h1", "h2", bound(F.size("words"), F.size("others")).alias("most"),
-                        _as_chars(F.col("words"), F.col("known")).alias("x"), _as_chars(F.col("others"), F.col("known")).alias("y")))
-        return both.filter("levenshtein(x, y, most) >= 0").select("h1", "h2").distinct()
+        both = of.join(text, ["h1", "h2"]).join(text.select(F.col("h1").alias("e1"), F.col("h2").alias("e2"), F.col("words").alias("others"),
+                                                            F.col("chars").alias("other_chars")), ["e1", "e2"])
+        most = bound(F.size("words"), F.size("others"))
+        within = lambda x, y: F.call_function("levenshtein", x, y, most) >= 0
+        # words with one code make the distance smaller: then it is taken again, with each word's place among all as its code
+        known = F.array_distinct(F.concat("words", "others"))
+        exact = F.size(known) == F.size(F.array_distinct(F.transform(known, _code)))
+        near_by_code = cut_lineage(both.filter(within(F.col("chars"), F.col("other_chars"))).select("h1", "h2", "words", "others", exact.alias("exact")))
+        again = (near_by_code.filter(~F.col("exact")).withColumn("known", known)
+                 .select("h1", "h2", most.alias("most"), *(_as_chars(F.transform(c, lambda w: F.array_position("known", w))).alias(f"{c}_at") for c in ("words", "others")))
+                 .filter("levenshtein(words_at, others_at, most) >= 0"))
+        return near_by_code.filter("exact").select("h1", "h2").union(again.select("h1", "h2")).distinct()
 
     # first each line against the earliest that it shares a key with, so that most of a group of copies is settled without pairs
     earliest = members.groupBy("key").agg(F.min(F.struct("ord", "h1", "h2", "n")).alias("e"))
