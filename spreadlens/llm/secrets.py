@@ -62,17 +62,19 @@ def candidates(text: str | None) -> list[tuple[int, int, int, str]]:
 SPANS = "array<struct<kind:int,start:int,end:int,hash:string>>"
 
 
-def scan(docs: DataFrame, owner: str = "source", repository: str = "doc_id", max_owners: int = 2) -> DataFrame:
+def scan(docs: DataFrame, owner: str = "source", repository: str = "doc_id", max_owners: int = 2, per_owner: int = 10) -> DataFrame:
     """doc_id and spans (kind, start, end, hash, owners, repositories, live) of every row of ``docs``.
 
     The hashes of all candidates are counted over the corpus: in how many distinct
     repositories they occur and of how many distinct owners.  A candidate with more
-    than ``max_owners`` owners is a widely copied example; one with fewer is live.
-    Only hashes are shuffled, combined on the map side by (hash, owner, repository).
+    than ``max_owners`` owners, or in more than ``per_owner`` repositories for each
+    owner, of which those with equal texts count as one here, is a widely copied
+    example; others are live.  Only hashes are shuffled, combined on the map side by
+    (hash, owner, repository) and (hash, text).
     Null texts are empty; a null owner is an owner; repeated rows get equal spans
     and count once; an empty table gives no rows.
     """
-    docs = docs.select("doc_id", "text", F.col(owner).cast("string").alias("own"), F.col(repository).cast("string").alias("repo"))
+    docs = docs.select("doc_id", "text", F.col(owner).cast("string").alias("own"), F.col(repository).cast("string").alias("repo"), F.xxhash64("text").alias("doc"))
 
     def run(batches):
         import pyarrow as pa
@@ -81,18 +83,19 @@ def scan(docs: DataFrame, owner: str = "source", repository: str = "doc_id", max
             texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
             found = [[{"kind": k, "start": s, "end": e, "hash": hashlib.sha256(v.encode("utf-8", "replace")).hexdigest()[:32]}
                       for k, s, e, v in candidates(t)] for t in texts]
-            keep = [batch.column(batch.schema.get_field_index(c)) for c in ("doc_id", "own", "repo")]
-            yield pa.RecordBatch.from_arrays([*keep, pa.array(found, kind)], ["doc_id", "own", "repo", "spans"])
+            keep = [batch.column(batch.schema.get_field_index(c)) for c in ("doc_id", "own", "repo", "doc")]
+            yield pa.RecordBatch.from_arrays([*keep, pa.array(found, kind)], ["doc_id", "own", "repo", "doc", "spans"])
 
     schema = docs.select("doc_id", "own", "repo").schema
-    each = cut_lineage(docs.mapInArrow(run, f"doc_id {schema['doc_id'].dataType.simpleString()}, own string, repo string, spans {SPANS}")
+    each = cut_lineage(docs.mapInArrow(run, f"doc_id {schema['doc_id'].dataType.simpleString()}, own string, repo string, doc long, spans {SPANS}")
                        .withColumn("row", F.monotonically_increasing_id()))
-    flat = each.filter(F.size("spans") > 0).select("row", "own", "repo", F.explode("spans").alias("s")).select("row", "own", "repo", "s.*")
+    flat = each.filter(F.size("spans") > 0).select("row", "own", "repo", "doc", F.explode("spans").alias("s")).select("row", "own", "repo", "doc", "s.*")
     owned = flat.groupBy("hash", F.coalesce("own", F.lit("\0")).alias("own"), F.coalesce("repo", F.lit("\0")).alias("repo")).agg(F.lit(1).alias("one"))
+    texts = flat.groupBy("hash", "doc").agg(F.lit(1).alias("one")).groupBy("hash").agg(F.count("*").alias("texts"))
     freq = (owned.groupBy("hash", "own").agg(F.count("*").alias("n"))
-            .groupBy("hash").agg(F.count("*").alias("owners"), F.sum("n").alias("repositories")))
-    told = (flat.join(freq, "hash").select("row", F.struct("start", "kind", "end", "hash", "owners", "repositories",
-                                                           (F.col("owners") <= max_owners).alias("live")).alias("s"))
+            .groupBy("hash").agg(F.count("*").alias("owners"), F.sum("n").alias("repositories")).join(texts, "hash"))
+    live = (F.col("owners") <= max_owners) & (F.col("texts") <= per_owner * F.col("owners"))
+    told = (flat.join(freq, "hash").select("row", F.struct("start", "kind", "end", "hash", "owners", "repositories", live.alias("live")).alias("s"))
             .groupBy("row").agg(F.sort_array(F.collect_list("s")).alias("spans")))
     empty = each.filter(F.size("spans") == 0).select("doc_id", F.lit(None).cast(told.schema["spans"].dataType).alias("spans"))
     return (each.filter(F.size("spans") > 0).select("row", "doc_id").join(told, "row").select("doc_id", "spans").union(empty)
@@ -102,8 +105,8 @@ def scan(docs: DataFrame, owner: str = "source", repository: str = "doc_id", max
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of every whole text of ``documents``; a document is a repository, its source the owner.
 
-    Base spans always stay; of the further kinds those owned by at most two sources
-    are added, since widely copied ones are examples.
+    Base spans always stay; of the further kinds the live ones are added, since widely
+    copied ones are examples.  owners and repositories are the counts of ``spans``, in order.
     """
     found = scan(documents(spark, sf_dir))
     base = F.filter("spans", lambda s: s["kind"] < 3)
@@ -111,8 +114,9 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = F.array(*(F.lit(k) for k in KINDS))
     text = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", names[s["kind"]], s["start"].cast("string"), s["end"].cast("string"))), ",")
     count = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long")
+    counts = lambda c, name: F.array_join(F.transform(c, lambda s: s[name].cast("string")), ",").alias(name)
     return found.select(
         "doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"),
-        F.sha2(text(base), 256).alias("base_sha256"), text(shown).alias("spans"),
+        F.sha2(text(base), 256).alias("base_sha256"), text(shown).alias("spans"), counts(shown, "owners"), counts(shown, "repositories"),
         F.size(F.filter("spans", lambda s: s["live"])).cast("long").alias("n_live"),
         F.size(F.filter("spans", lambda s: ~s["live"])).cast("long").alias("n_copied"))

@@ -353,6 +353,16 @@ def test_line_dedup_rules(spark):
     assert got == {2: [0], 3: [0], 4: [0], None: [0]}
 
 
+def test_secrets_by_owners_and_repositories(spark):
+    """An example key in many documents of one source is copied; copies of one document within its source leave its key live."""
+    key = lambda x: "ghp_" + x * 20
+    rows = [(i, f"example {i} {key('a')}", "hot") for i in range(11)] + [(60 + i, f"only {key('b')}", "s") for i in range(14)]
+    rows += [(30 + i, f"spread {i} {key('c')}", f"s{i}") for i in range(3)] + [(40 + i, f"rare {i} {key('d')}", "hot") for i in range(10)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r["doc_id"]: [(s["owners"], s["repositories"], s["live"]) for s in r["spans"]] for r in secrets.scan(docs).collect()}
+    assert [got[d] for d in (0, 60, 30, 40)] == [[(1, 11, False)], [(1, 14, True)], [(3, 3, False)], [(1, 10, True)]]
+
+
 def words_apart(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
