@@ -133,13 +133,16 @@ def _near_earlier_long(docs: DataFrame, near: DataFrame, min_words: int, words_p
     each = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).select(_order().alias("ord"), _words(F.col("line")).alias("words"))
     long = each.withColumn("n", F.size("words")).filter(F.col("n") >= max(min_words, 2 * words_per_edit - 2))
     hashed = long.select(*_hashes(), "n", "ord", _runs(F.transform("words", lambda w: F.xxhash64(w)), shingle, F.xxhash64).alias("all"))
-    flat = cut_lineage(hashed.select("h1", "h2", "n", "ord", F.array_distinct(_runs(F.col("all"), run - shingle + 1, F.least)).alias("keys"))
-                       ).select("h1", "h2", "n", "ord", F.explode("keys").alias("key"))
+    long_lines = cut_lineage(hashed.select("h1", "h2", "n", "ord", F.array_distinct(_runs(F.col("all"), run - shingle + 1, F.least)).alias("keys")))
+    # keys are shuffled with one number of their line only
+    flat = long_lines.select("h1", F.explode("keys").alias("key"))
     shared = cut_lineage(flat.groupBy("key").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).filter("a <> b").select("key"))
-    members = cut_lineage(counted_join(flat, shared, ["key"]).groupBy("key", "h1", "h2", "n").agg(F.min("ord").alias("ord")))
-    lines = cut_lineage(members.groupBy("h1", "h2").agg(F.min("ord").alias("ord")))
+    hits = cut_lineage(counted_join(flat, shared, ["key"]).distinct())
+    lines = cut_lineage(counted_join(long_lines.select("h1", "h2", "n", "ord"), cut_lineage(hits.select("h1").distinct()), ["h1"], "left_semi")
+                        .groupBy("h1", "h2", "n").agg(F.min("ord").alias("ord")))
+    members = cut_lineage(hits.join(lines, "h1").select("key", "h1", "h2", "n", "ord"))
     text = cut_lineage(counted_join(long.select("ord", "words", *(h.alias(n) for h, n in zip(_hashes(), ("g1", "g2")))),
-                                    lines, ["ord"]).filter("h1 = g1 and h2 = g2").select("h1", "h2", "words", _as_chars(F.transform("words", _code)).alias("chars")).dropDuplicates(["h1", "h2"]))
+                                    lines.select("h1", "h2", "ord"), ["ord"]).filter("h1 = g1 and h2 = g2").select("h1", "h2", "words", _as_chars(F.transform("words", _code)).alias("chars")).dropDuplicates(["h1", "h2"]))
 
     def close(pairs):
         """h1, h2 of the lines of pairs (h1, h2, n and the earlier line's e1, e2, m) that are within the bound."""
