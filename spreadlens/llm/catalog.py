@@ -1,6 +1,7 @@
 """Queries of this subpackage and their SQL."""
 from __future__ import annotations
 
+from spreadlens.llm.bpe import op13_bpe
 from spreadlens.llm.decontamination import OP7_SQL, op7_decontamination
 from spreadlens.llm.language import op8_language
 from spreadlens.llm.linededup import OP2_SQL, op2_line_dedup
@@ -13,5 +14,5 @@ from spreadlens.llm.tokencounts import op4_token_counts
 from spreadlens.llm.toxicity import op1_toxicity
 
 QUERIES = {f.__name__: f for f in (op1_toxicity, op2_line_dedup, op3_quality, op4_token_counts, op5_simhash, op6_nearest,
-                                   op7_decontamination, op8_language, op9_packing, op10_secrets)}
+                                   op7_decontamination, op8_language, op9_packing, op10_secrets, op13_bpe)}
 ORACLE_SQL = {"op2_line_dedup": OP2_SQL, "op7_decontamination": OP7_SQL}
