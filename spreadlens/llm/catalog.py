@@ -12,7 +12,8 @@ from spreadlens.llm.secrets import op10_secrets
 from spreadlens.llm.simhash import op5_simhash
 from spreadlens.llm.tokencounts import op4_token_counts
 from spreadlens.llm.toxicity import op1_toxicity
+from spreadlens.llm.vectorcodes import OP12_SQL, op12_vector_codes
 
 QUERIES = {f.__name__: f for f in (op1_toxicity, op2_line_dedup, op3_quality, op4_token_counts, op5_simhash, op6_nearest,
-                                   op7_decontamination, op8_language, op9_packing, op10_secrets, op13_bpe)}
-ORACLE_SQL = {"op2_line_dedup": OP2_SQL, "op7_decontamination": OP7_SQL}
+                                   op7_decontamination, op8_language, op9_packing, op10_secrets, op12_vector_codes, op13_bpe)}
+ORACLE_SQL = {"op2_line_dedup": OP2_SQL, "op7_decontamination": OP7_SQL, "op12_vector_codes": OP12_SQL}
