@@ -5,6 +5,7 @@ import json
 import unicodedata
 from array import array
 from functools import lru_cache, partial
+from itertools import islice
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,8 +15,10 @@ from spreadlens.llm.common import documents
 
 #: No mergeable pair; other keys are rank << 32 | position, so the least one is the leftmost of the lowest rank.
 NONE = (1 << 62) - 1
-#: Longer texts are split into words one at a time instead of all at once.
-LONG_TEXT = 1 << 20
+#: Characters and words of the texts that are encoded together; a longer text is split some words at a time.
+TOGETHER, SLICE = 1 << 20, 1 << 17
+#: Words of which the ids are remembered; longer words than KEPT_SIZE bytes are not, and go through ``merge`` one by one.
+KEPT, KEPT_SIZE = 400_000, 64
 
 
 def tokenizer_file() -> str:
@@ -74,6 +77,65 @@ def merge(symbols: list[int], ranks: dict[int, int], merged: list[int]) -> list[
     return [s for s in symbols if s >= 0]
 
 
+class Pairs:
+    """Ranks of pairs as sorted arrays, for words by the thousand."""
+
+    def __init__(self, ranks: dict[int, int], merged: list[int]):
+        key = np.fromiter(ranks.keys(), np.int64, len(ranks))
+        rank = np.fromiter(ranks.values(), np.int64, len(ranks))
+        order = np.argsort(key)
+        self.key, self.rank, self.merged = np.append(key[order], -1), np.append(rank[order], 0), np.array([*merged, 0], np.int64)
+        self.n = len(ranks)
+
+    def keys(self, left: np.ndarray, right: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Key of the pair at each place: rank << 32 | place, or NONE."""
+        pair = left << 32 | right
+        found = np.searchsorted(self.key[:self.n], pair)
+        return np.where(self.key[found] == pair, self.rank[found] << 32 | at, NONE)
+
+
+def merge_all(symbols: np.ndarray, sizes: np.ndarray, pairs: Pairs) -> np.ndarray:
+    """``merge`` of many words at once: a row holds a word's symbols, then -1, and has a tree of its own.
+
+    Each round takes the merge at the root of every tree that has one and renews the
+    three leaves' paths, level by level in all trees together.  Symbols that were
+    taken in become -1.
+    """
+    n, width = symbols.shape
+    size = 1 << (width - 1).bit_length()
+    symbols = symbols.astype(np.int64)
+    tree = np.full((n, 2 * size), NONE, np.int64)
+    if width > 1:
+        tree[:, size:size + width - 1] = np.where(np.arange(1, width) < sizes[:, None], pairs.keys(symbols[:, :-1], symbols[:, 1:], np.arange(width - 1)), NONE)
+    half = size
+    while half > 1:
+        tree[:, half // 2:half] = tree[:, half:2 * half].reshape(n, -1, 2).min(2)
+        half //= 2
+    after, before = np.tile(np.arange(1, width + 1), (n, 1)), np.tile(np.arange(-1, width - 1), (n, 1))
+    rows = np.flatnonzero(tree[:, 1] != NONE)
+    while len(rows):
+        top = tree[rows, 1]
+        i = top & 0xFFFFFFFF
+        gone, prev = after[rows, i], before[rows, i]
+        nxt = after[rows, gone]
+        now = pairs.merged[top >> 32]
+        symbols[rows, i], symbols[rows, gone] = now, -1
+        after[rows, i] = nxt
+        tree[rows, size + gone] = tree[rows, size + i] = NONE
+        more, back = nxt < sizes[rows], prev >= 0
+        r, at, following = rows[more], i[more], nxt[more]
+        before[r, following] = at
+        tree[r, size + at] = pairs.keys(now[more], symbols[r, following], at)
+        b, at = rows[back], prev[back]
+        tree[b, size + at] = pairs.keys(symbols[b, at], now[back], at)
+        r, node = np.concatenate([rows, rows, b]), np.concatenate([gone, i, at]) + size
+        while node[0] > 1:
+            node = node >> 1
+            tree[r, node] = np.minimum(tree[r, 2 * node], tree[r, 2 * node + 1])
+        rows = rows[tree[rows, 1] != NONE]
+    return symbols
+
+
 @lru_cache(1)
 def _later_letters():
     """Letters and numbers that the pattern library knows and the tokenizer's older Unicode tables don't."""
@@ -92,28 +154,6 @@ def _byte_letters() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(hidden)}
 
 
-class _LaterLetter(Exception):
-    pass
-
-
-class _Words(dict):
-    """word -> its ids as little-endian unsigned 32-bit integers; forgets its words when it holds too many, keeps no long ones."""
-
-    def __init__(self, encode, later, most: int = 200_000):
-        super().__init__()
-        self.encode, self.later, self.most = encode, later, most
-
-    def __missing__(self, word: str) -> bytes:
-        if not word.isascii() and self.later.search(word):
-            raise _LaterLetter
-        ids = self.encode(word)
-        if len(word) <= 64:
-            if len(self) >= self.most:
-                self.clear()
-            self[word] = ids
-        return ids
-
-
 class ByteBPE:
     """Encoder and decoder of a byte-level BPE vocabulary in the tokenizers library's file format.
 
@@ -152,26 +192,109 @@ class ByteBPE:
         for kind in (r"\p{L}", r"\p{N}"):
             exact = exact.replace(f" ?{kind}+", f" ?[{kind}--{later.pattern}]+")
         self.exact_words = regex.compile(exact, regex.V1)
-        self.known = _Words(self.word_ids, later)
+        self.later, self.pairs, self.known, self.kept = later, Pairs(self.ranks, self.merged), {}, KEPT
+        self.ids_of_bytes = np.array(self.byte_id, np.int64)
 
     def word_ids(self, word: str) -> bytes:
         """ids of one pre-token."""
         return np.array(merge([self.byte_id[b] for b in word.encode()], self.ranks, self.merged), "<u4").tobytes()
 
-    def _part(self, text: str) -> bytes:
-        words = self.words.findall(text) if len(text) < LONG_TEXT else (m.group() for m in self.words.finditer(text))
-        try:
-            return b"".join(map(self.known.__getitem__, words))
-        except _LaterLetter:
-            return b"".join(self.word_ids(m.group()) for m in self.exact_words.finditer(text))
+    def _learn(self, words: set[str]) -> tuple[set[str], set[str]]:
+        """Puts the ids of all words into ``known``; returns the words that hold later letters, and those not to be remembered:
+        these, which the two patterns cut differently, and long ones."""
+        new = [w for w in words if w not in self.known]
+        if len(self.known) + len(new) > self.kept:
+            self.known.clear()
+            new = list(words)
+        raw = [w.encode() for w in new]
+        sizes = np.fromiter(map(len, raw), np.int64, len(raw))
+        for width in (4, 8, 12, 16, 32, KEPT_SIZE):
+            low = {4: 0, 8: 4, 12: 8, 16: 12, 32: 16, KEPT_SIZE: 32}[width]
+            own = np.flatnonzero((sizes > low) & (sizes <= width))
+            for s in range(0, len(own), 1 << 14):
+                some = own[s:s + (1 << 14)]
+                filled = np.frombuffer(b"".join(raw[k].ljust(width, b"\0") for k in some.tolist()), np.uint8).reshape(-1, width)
+                n = sizes[some]
+                ids = merge_all(np.where(np.arange(width) < n[:, None], self.ids_of_bytes[filled], -1), n, self.pairs)
+                held = ids >= 0
+                flat, ends = ids[held].astype("<u4").tobytes(), (4 * np.cumsum(held.sum(1))).tolist()
+                at = 0
+                for k, end in zip(some.tolist(), ends):
+                    self.known[new[k]] = flat[at:end]
+                    at = end
+        long = [new[k] for k in np.flatnonzero(sizes > KEPT_SIZE).tolist()]
+        for w in long:
+            self.known[w] = self.word_ids(w)
+        later = {w for w in new if not w.isascii() and self.later.search(w)}
+        return later, later.union(long)
+
+    def _forget(self, words: set[str]) -> None:
+        for w in words:
+            del self.known[w]
+
+    def _split(self, pattern, text: str):
+        """The words of a text in lists, all at once unless it is long."""
+        if len(text) < TOGETHER:
+            yield pattern.findall(text)
+            return
+        words = (m.group() for m in pattern.finditer(text))
+        while some := list(islice(words, SLICE)):
+            yield some
+
+    def _alone(self, text: str) -> bytes:
+        """A text of any length, split some words at a time; anew by the exact pattern if a later letter turns up."""
+        for pattern in (self.words, self.exact_words):
+            out = []
+            for words in self._split(pattern, text):
+                later, passing = self._learn(set(words))
+                if not (later and pattern is self.words):
+                    out.append(b"".join(map(self.known.__getitem__, words)))
+                self._forget(passing)
+                if later and pattern is self.words:
+                    break
+            else:
+                return b"".join(out)
+        raise AssertionError("unreachable")
+
+    def _together(self, texts: list[str]) -> list[bytes]:
+        """Short texts whose new words are learned together."""
+        split = [self.words.findall(t) for t in texts]
+        later, passing = self._learn(set().union(*split))
+        out = [None if later and not later.isdisjoint(words) else b"".join(map(self.known.__getitem__, words)) for words in split]
+        self._forget(passing)
+        return [self._alone(t) if ids is None else ids for t, ids in zip(texts, out)]
+
+    def encode_all(self, texts: list[str | None]) -> list[bytes]:
+        """ids of whole texts as little-endian unsigned 32-bit integers; none for null."""
+        parts, whose = [], []
+        for k, text in enumerate(texts):
+            for part in self.split_added.split(text) if text and any(t in text for t in self.added) else [text]:
+                if part:
+                    parts.append(part)
+                    whose.append(k)
+        out: list[list[bytes]] = [[] for _ in texts]
+        held, size = [], 0
+        done: list[bytes] = []
+        for part in [*parts, None]:
+            if held and (part is None or part in self.added or size + len(part) > TOGETHER):
+                done += self._together(held) if size <= TOGETHER else [self._alone(held[0])]
+                held, size = [], 0
+            if part is None:
+                break
+            if part in self.added:
+                done.append(self.added[part])
+            else:
+                held.append(part)
+                size += len(part)
+        for k, ids in zip(whose, done):
+            out[k].append(ids)
+        return [b"".join(x) for x in out]
 
     def encode(self, text: str | None) -> bytes:
-        """ids of a whole text as little-endian unsigned 32-bit integers; none for null."""
-        if not text:
-            return b""
-        if self.split_added is None or not self.split_added.search(text):
-            return self._part(text)
-        return b"".join(self.added.get(part) or self._part(part) for part in self.split_added.split(text) if part)
+        return self.encode_all([text])[0]
+
+    def decode_all(self, rows: list[bytes | None]) -> list[str]:
+        return list(map(self.decode, rows))
 
     def decode(self, ids: bytes | None) -> str:
         """Text of ids in that form; ids outside the vocabulary give nothing, bytes that are no UTF-8 the replacement character."""
@@ -183,6 +306,12 @@ class ByteBPE:
         return found.decode("utf-8", "replace")
 
 
+@lru_cache(2)
+def vocabulary(file: str) -> ByteBPE:
+    """One for each Python worker, which keeps the words it has learned from task to task."""
+    return ByteBPE(file)
+
+
 def _map(df: DataFrame, source: str, target: str, kind: str, file: str | None, method: str) -> DataFrame:
     """Adds column ``target``: ``method`` of the vocabulary in ``file`` on column ``source``, in Arrow batches."""
     file = file or tokenizer_file()
@@ -193,10 +322,9 @@ def _map(df: DataFrame, source: str, target: str, kind: str, file: str | None, m
 
     def run(batches):
         import pyarrow as pa
-        bpe = ByteBPE(file)
-        call, arrow = getattr(bpe, method), pa.string() if kind == "string" else pa.binary()
+        call, arrow = getattr(vocabulary(file), method), pa.string() if kind == "string" else pa.binary()
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([call(x) for x in batch.column(at).to_pylist()], arrow)], names)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(call(batch.column(at).to_pylist()), arrow)], names)
     return df.mapInArrow(run, f"{fields}, `{target}` {kind}")
 
 
@@ -209,12 +337,12 @@ def encode(df: DataFrame, text: str = "text", ids: str = "ids", file: str | None
     and further columns pass through; an empty table gives no rows.  A column that
     is named like the new one is an error.
     """
-    return _map(df, text, ids, "binary", file, "encode")
+    return _map(df, text, ids, "binary", file, "encode_all")
 
 
 def decode(df: DataFrame, ids: str = "ids", text: str = "decoded", file: str | None = None) -> DataFrame:
     """``df`` with a column of the text of each row's ids, in the form of ``encode``; no text for null or no ids."""
-    return _map(df, ids, text, "string", file, "decode")
+    return _map(df, ids, text, "string", file, "decode_all")
 
 
 def n_tokens(ids: str = "ids") -> Column:

@@ -65,13 +65,28 @@ def test_merge_equals_plain_loop():
             r, i = min(found)
             plain[i:i + 2] = [merged[r]]
         assert bpe.merge(word, ranks, merged) == plain
+        if word and ranks:
+            row = np.array([word + [-1] * rng.randint(0, 3)])
+            got = bpe.merge_all(row, np.array([len(word)]), bpe.Pairs(ranks, merged))
+            assert got[got >= 0].tolist() == plain
 
 
 def test_words_are_forgotten(own):
-    own.known.most = 3
+    own.kept = 3
     text = "several different words come here and come here again"
-    assert own.decode(own.encode(text)) == text and len(own.known) <= 4
-    own.known.most = 200_000
+    assert own.decode(own.encode(text)) == text
+    assert own.encode("here, again") and len(own.known) <= 3
+    own.kept = bpe.KEPT
+
+
+def test_texts_together_and_in_slices(own, library, monkeypatch):
+    texts = [None, "", *odd_texts()]
+    want = [library.encode(t, add_special_tokens=False).ids if t else [] for t in texts]
+    for together, size in ((1 << 20, 1 << 17), (30, 2)):
+        monkeypatch.setattr(bpe, "TOGETHER", together)
+        monkeypatch.setattr(bpe, "SLICE", size)
+        assert [np.frombuffer(x, "<u4").tolist() for x in own.encode_all(texts)] == want
+    assert not any(len(w) > 64 or own.later.search(w) for w in own.known)
 
 
 def test_query_equals_the_library(spark, library):
