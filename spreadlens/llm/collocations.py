@@ -16,13 +16,17 @@ from spreadlens.session import cut_lineage
 
 #: Words of a chunk, bytes of text that are split at a time, ids along a side of a tile, and pairs from which a tile is counted densely.
 CHUNK, SLICE, SIDE, DENSE = 1 << 20, 1 << 20, 256, 4096
+#: Up to so many frequent pairs (16 bytes each) are sent to the tasks; more are joined by a shuffle.  Pairs that a task merges before it hands them on.
+SENT, MERGED = 1 << 21, 1 << 22
 
 #: Ends of pieces become the byte 0xFF, which no UTF-8 text holds, tabs blanks, and A-Z small letters.
 _ENDS = b".,;:!?\n\x0b\x0c\r"
 _TABLE = bytes(0xFF if b in _ENDS else 0x20 if b == 0x09 else b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 _END = b"\xff"
 
-CHUNKS = "chunk long, lang string, n long, size int, at binary, keys array<{key}>, counts array<long>"
+WORDS = "chunk long, lang string, n long, size int, at binary, keys array<string>, counts array<long>"
+#: Pairs of a chunk in order of their keys; keys as differences, both compressed.
+PAIRS = "chunk long, lang string, size int, at binary, n_keys int, keys binary, counts binary"
 
 
 class _Local(dict):
@@ -51,20 +55,31 @@ def _slices(text: str) -> Iterator[list[bytes]]:
         at = end
 
 
-def _pack(codes: np.ndarray) -> bytes:
+def _pack(codes: np.ndarray, kind=np.int32) -> bytes:
     import pyarrow as pa
-    return pa.compress(np.ascontiguousarray(codes, np.int32).tobytes(), codec="zstd", asbytes=True)
+    return pa.compress(np.ascontiguousarray(codes, kind).tobytes(), codec="zstd", asbytes=True)
 
 
-def _unpack(at: bytes, size: int) -> np.ndarray:
+def _unpack(at: bytes, size: int, kind=np.int32) -> np.ndarray:
     import pyarrow as pa
-    return np.frombuffer(pa.decompress(at, 4 * size, codec="zstd"), np.int32) if size else np.zeros(0, np.int32)
+    return np.frombuffer(pa.decompress(at, np.dtype(kind).itemsize * size, codec="zstd"), kind) if size else np.zeros(0, kind)
 
 
-def _batch(rows, key):
-    import pyarrow as pa
-    kinds = [pa.int64(), pa.string(), pa.int64(), pa.int32(), pa.binary(), pa.list_(key), pa.list_(pa.int64())]
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["chunk", "lang", "n", "size", "at", "keys", "counts"])
+def _pack_keys(keys: np.ndarray) -> bytes:
+    return _pack(np.diff(keys, prepend=0), np.int64)
+
+
+def _unpack_keys(keys: bytes, size: int) -> np.ndarray:
+    return np.cumsum(_unpack(keys, size, np.int64))
+
+
+def _added(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Different keys in order, with the sums of their counts."""
+    key = np.concatenate(keys)
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    first = np.flatnonzero(np.diff(key, prepend=-1))
+    return key[first], np.add.reduceat(np.concatenate(counts)[order], first) if len(first) else first
 
 
 def word_chunks(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
@@ -87,7 +102,9 @@ def word_chunks(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
                 words = list(local)[1:]
                 made += 1
                 counts = np.bincount(at[at >= 0], minlength=len(words))
-                yield _batch([(base | made, lang, int(counts.sum()), len(at), _pack(at), [w.decode() for w in words], counts.tolist())], pa.string())
+                row = base | made, lang, int(counts.sum()), len(at), _pack(at), [w.decode() for w in words], counts
+                kinds = pa.int64(), pa.string(), pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.string()), pa.list_(pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds)], ["chunk", "lang", "n", "size", "at", "keys", "counts"])
         for batch in batches:
             for text, lang in zip(*(batch.column(i).to_pylist() for i in range(2))):
                 lang = "und" if lang is None else lang
@@ -105,7 +122,7 @@ def word_chunks(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
                 if held > chunk:
                     yield from flush(list(open_chunks))
         yield from flush(list(open_chunks))
-    return docs.select(F.col("text").cast("string"), F.col("lang").cast("string")).mapInArrow(run, CHUNKS.format(key="string"))
+    return docs.select(F.col("text").cast("string"), F.col("lang").cast("string")).mapInArrow(run, WORDS)
 
 
 def tiled_pairs(a: np.ndarray, b: np.ndarray, side: int = SIDE, dense: int = DENSE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -142,17 +159,22 @@ def tiled_pairs(a: np.ndarray, b: np.ndarray, side: int = SIDE, dense: int = DEN
         number[rows] = place + used
         keys.append(key)
         counts.append(count)
-    return np.concatenate(keys), np.concatenate(counts), number
+    key = np.concatenate(keys)
+    order = np.argsort(key)
+    place = np.empty(len(key), np.int64)
+    place[order] = np.arange(len(key))
+    return key[order], np.concatenate(counts)[order], place[number]
 
 
 def pair_chunks(chunks: DataFrame, side: int = SIDE, dense: int = DENSE) -> DataFrame:
     """Chunks of the pairs of neighbouring ids, from chunks with the ids of their frequent keys (``ids``: place << 32 | id)."""
     def run(batches):
         import pyarrow as pa
+        kinds = pa.int64(), pa.string(), pa.int32(), pa.binary(), pa.int32(), pa.binary(), pa.binary()
         for batch in batches:
             for i in range(batch.num_rows):
-                chunk, lang, n, size, at, n_keys = (batch.column(c)[i].as_py() for c in range(6))
-                ids = batch.column(6)[i].values.to_numpy(zero_copy_only=False)
+                chunk, lang, size, at, n_keys = (batch.column(c)[i].as_py() for c in range(5))
+                ids = batch.column(5)[i].values.to_numpy(zero_copy_only=False)
                 rank = np.full(n_keys + 1, -1, np.int32)  # the last is that of -1
                 rank[ids >> 32] = ids & 0xFFFFFFFF
                 here = rank[_unpack(at, size)]
@@ -162,29 +184,118 @@ def pair_chunks(chunks: DataFrame, side: int = SIDE, dense: int = DENSE) -> Data
                     continue
                 pairs = np.full(len(valid), -1, np.int32)
                 pairs[valid] = number
-                yield _batch([(chunk, lang, n, len(pairs), _pack(pairs), keys, counts)], pa.int64())
-    return (chunks.select("chunk", "lang", "n", "size", "at", "n_keys", "ids").mapInArrow(run, CHUNKS.format(key="long")))
+                row = chunk, lang, len(pairs), _pack(pairs), len(keys), _pack_keys(keys), _pack(counts)
+                yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds)], ["chunk", "lang", "size", "at", "n_keys", "keys", "counts"])
+    return chunks.select("chunk", "lang", "size", "at", "n_keys", "ids").mapInArrow(run, PAIRS)
 
 
-def _totals(chunks: DataFrame, by: list[str], least: int) -> DataFrame:
-    """Keys of all chunks with a count of at least ``least``, numbered from the most frequent on."""
-    each = chunks.select("lang", F.explode(F.arrays_zip("keys", "counts")).alias("x")).select("lang", F.col("x.keys").alias("key"), F.col("x.counts").alias("count"))
-    often = each.groupBy(*by).agg(F.sum("count").alias("a")).filter(F.col("a") >= least)
+def _numbered(often: DataFrame, by: list[str]) -> DataFrame:
     return cut_lineage(numbered(often, [F.desc("a"), *map(F.col, by)], "id"))
 
 
-def _with_ids(chunks: DataFrame, found: DataFrame, by: list[str]) -> DataFrame:
-    """Chunks with ``ids``: the place and id of each of their keys that is in ``found``; chunks without one go.
+def _frequent_words(chunks: DataFrame, least: int) -> DataFrame:
+    """lang, key, a, id of the words with a count of at least ``least``, numbered from the most frequent on."""
+    each = chunks.select("lang", F.explode(F.arrays_zip("keys", "counts")).alias("x")).select("lang", F.col("x.keys").alias("key"), F.col("x.counts").alias("count"))
+    return _numbered(each.groupBy("lang", "key").agg(F.sum("count").alias("a")).filter(F.col("a") >= least), ["lang", "key"])
+
+
+def _frequent_pairs(chunks: DataFrame, least: int, side: int, merged: int = MERGED) -> DataFrame:
+    """key, a, id of the pairs with a count of at least ``least``, numbered from the most frequent on.
+
+    A task adds up its chunks' pairs and hands them on in packed runs, by buckets of
+    tiles; the task of a bucket adds up its runs.
+    """
+    buckets = int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def runs(batches):
+        import pyarrow as pa
 
-    Each chunk asks for its different keys only, so a key comes up once a chunk however frequent it is.
+        def out(keys, counts):
+            key, count = _added(keys, counts)
+            tile = (key >> 32) // side * 1_000_003 + (key & 0xFFFFFFFF) // side
+            bucket = (tile * 2_654_435_761 >> 16) % buckets
+            order = np.argsort(bucket, kind="stable")
+            starts = np.flatnonzero(np.diff(bucket[order], prepend=-1))
+            rows = [(int(bucket[own[0]]), len(own), _pack_keys(key[own]), _pack(count[own], np.int64)) for own in np.split(order, starts[1:])]
+            kinds = pa.int32(), pa.int32(), pa.binary(), pa.binary()
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["bucket", "size", "keys", "counts"])
+        keys, counts, held = [], [], 0
+        for batch in batches:
+            for size, key, count in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                keys.append(_unpack_keys(key, size))
+                counts.append(_unpack(count, size))
+                held += size
+                if held >= merged:
+                    yield out(keys, counts)
+                    keys, counts, held = [], [], 0
+        if held:
+            yield out(keys, counts)
+
+    def sums(batches):
+        import pyarrow as pa
+        keys, counts, held, last = [], [], 0, 0
+        for batch in batches:
+            for _, size, key, count in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                keys.append(_unpack_keys(key, size))
+                counts.append(_unpack(count, size, np.int64))
+                held += size
+                if held >= 2 * last + merged:  # what is kept grows only with the different keys
+                    key, count = _added(keys, counts)
+                    keys, counts, held, last = [key], [count], len(key), len(key)
+        if keys:
+            key, count = _added(keys, counts)
+            often = count >= least
+            yield pa.RecordBatch.from_arrays([pa.array(key[often]), pa.array(count[often])], ["key", "a"])
+    packed = chunks.select("n_keys", "keys", "counts").mapInArrow(runs, "bucket int, size int, keys binary, counts binary")
+    return _numbered(packed.repartition(buckets, "bucket").mapInArrow(sums, "key long, a long"), ["key"])
+
+
+def _with_word_ids(chunks: DataFrame, found: DataFrame) -> DataFrame:
+    """Chunks with ``ids``: the place and id of each of their words that is in ``found``; chunks without one go.
+
+    Each chunk asks for its different words only, so a word comes up once a chunk however frequent it is.
     """
     asked = chunks.select("chunk", "lang", F.posexplode("keys").alias("place", "key"))
-    hits = (counted_join(asked, found.select(*by, "id"), by)
-            .groupBy("chunk").agg(F.collect_list(F.shiftleft(F.col("place").cast("long"), 32).bitwiseOR(F.col("id").cast("long"))).alias("ids")))
-    return chunks.select("chunk", "lang", "n", "size", "at", F.size("keys").alias("n_keys")).join(hits, "chunk")
+    return _joined(chunks.withColumn("n_keys", F.size("keys")), counted_join(asked, found.select("lang", "key", "id"), ["lang", "key"]))
+
+
+def _joined(chunks: DataFrame, hits: DataFrame) -> DataFrame:
+    ids = hits.groupBy("chunk").agg(F.collect_list(F.shiftleft(F.col("place").cast("long"), 32).bitwiseOR(F.col("id").cast("long"))).alias("ids"))
+    return chunks.select("chunk", "lang", "size", "at", "n_keys").join(ids, "chunk")
+
+
+def _with_pair_ids(chunks: DataFrame, found: DataFrame, sent: int = SENT) -> DataFrame:
+    """The same for pairs.  Up to ``sent`` frequent pairs go to the tasks as sorted arrays; more meet the chunks' pairs in a shuffle."""
+    kind = "chunk long, lang string, size int, at binary, n_keys int, ids array<long>"
+    if found.count() > sent:
+        def asked(batches):
+            import pyarrow as pa
+            for batch in batches:
+                for chunk, size, key in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                    key = _unpack_keys(key, size)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(size, chunk)), pa.array(np.arange(size, dtype=np.int32)), pa.array(key)], ["chunk", "place", "key"])
+        each = chunks.select("chunk", "n_keys", "keys").mapInArrow(asked, "chunk long, place int, key long")
+        return _joined(chunks, each.join(found.select("key", "id"), "key"))
+    table = found.select("key", "id").toArrow()
+    key, number = (table.column(c).to_numpy() for c in ("key", "id"))
+    order = np.argsort(key)
+    table = chunks.sparkSession.sparkContext.broadcast((key[order], number[order].astype(np.int64)))
+
+    def run(batches):
+        import pyarrow as pa
+        key, number = table.value
+        for batch in batches:
+            for i in range(batch.num_rows if len(key) else 0):
+                own = _unpack_keys(batch.column(5)[i].as_py(), batch.column(4)[i].as_py())
+                place = np.minimum(np.searchsorted(key, own), len(key) - 1)
+                hit = np.flatnonzero(key[place] == own)
+                ids = pa.ListArray.from_arrays(pa.array([0, len(hit)], pa.int32()), pa.array(hit << 32 | number[place[hit]]))
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(i, 1) for c in range(5)), ids], ["chunk", "lang", "size", "at", "n_keys", "ids"])
+    return chunks.select("chunk", "lang", "size", "at", "n_keys", "keys").mapInArrow(run, kind)
 
 
-def phrases(docs: DataFrame, least: int = 100, longest: int = 5, chunk: int = CHUNK, side: int = SIDE, dense: int = DENSE) -> tuple[DataFrame, DataFrame]:
+def phrases(docs: DataFrame, least: int = 100, longest: int = 5, chunk: int = CHUNK, side: int = SIDE, dense: int = DENSE,
+            sent: int = SENT, merged: int = MERGED) -> tuple[DataFrame, DataFrame]:
     """(lang, words, a, heads, tails, longer) of every phrase of 2 to ``longest`` words that occurs ``least`` times, and (lang, n).
 
     Texts are split into words once and kept as numbers.  Frequent words get ids by
@@ -200,14 +311,12 @@ def phrases(docs: DataFrame, least: int = 100, longest: int = 5, chunk: int = CH
     """
     chunks = cut_lineage(word_chunks(docs, chunk))
     words = chunks.groupBy("lang").agg(F.sum("n").alias("n"))
-    by = ["lang", "key"]
-    found = _totals(chunks, by, least)
+    found = _frequent_words(chunks, least)
     rows = found.select("id", "lang", F.array("key").alias("words"), "a", F.array("a").alias("heads"), F.array("a").alias("tails"))
     levels = []
-    for _ in range(2, longest + 1):
-        chunks = cut_lineage(pair_chunks(_with_ids(chunks, found, by), side, dense))
-        by = ["key"]
-        found = _totals(chunks, by, least)
+    for k in range(2, longest + 1):
+        chunks = cut_lineage(pair_chunks(_with_word_ids(chunks, found) if k == 2 else _with_pair_ids(chunks, found, sent), side, dense))
+        found = _frequent_pairs(chunks, least, side, merged)
         first = rows.select(F.col("id").alias("left"), "lang", F.col("words").alias("begin"), "heads")
         last = rows.select(F.col("id").alias("right"), F.element_at("words", -1).alias("end"), "tails")
         pairs = found.select("id", "a", F.shiftrightunsigned("key", 32).alias("left"), F.col("key").bitwiseAND(F.lit(0xFFFFFFFF)).alias("right"))

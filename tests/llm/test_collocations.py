@@ -50,8 +50,8 @@ def test_plain_count(spark):
     docs = [("".join(rng.choice(words) + rng.choice([" ", " ", " ", "\t", ", ", ".", "\n", "\x0b", "  ", "? "]) for _ in range(rng.randint(0, 60))),
              rng.choice(["en", "fr", None, "und"])) for _ in range(120)]
     df = spark.createDataFrame(docs, "text string, lang string").repartition(3)
-    for side, dense, top in ((2, 4, 2000), (4, 1 << 30, 7), (256, 1, 2000)):
-        got = collocations.collocations(df, top=top, least=6, chunk=300, side=side, dense=dense)
+    for side, dense, top, more in ((2, 4, 2000, {}), (4, 1 << 30, 7, {"sent": 3, "merged": 50}), (256, 1, 2000, {"sent": 0})):
+        got = collocations.collocations(df, top=top, least=6, chunk=300, side=side, dense=dense, **more)
         assert sorted(map(tuple, got.collect())) == plain(docs, 6, top)
 
 
