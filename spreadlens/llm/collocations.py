@@ -3,6 +3,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 from pyspark import TaskContext
@@ -16,7 +17,8 @@ from spreadlens.session import cut_lineage
 
 #: Words of a chunk, bytes of text that are split at a time, ids along a side of a tile, and pairs from which a tile is counted densely.
 CHUNK, SLICE, SIDE, DENSE = 1 << 20, 1 << 20, 256, 4096
-#: Up to so many frequent pairs (16 bytes each) are sent to the tasks; more are joined by a shuffle.  Pairs that a task merges before it hands them on.
+#: Up to so many frequent pairs (16 bytes each), and an eighth as many frequent words, are sent to the tasks; more are
+#: joined by a shuffle.  Pairs that a task merges before it hands them on.
 SENT, MERGED = 1 << 21, 1 << 22
 
 #: Ends of pieces become the byte 0xFF, which no UTF-8 text holds, tabs blanks, and A-Z small letters.
@@ -250,13 +252,39 @@ def _frequent_pairs(chunks: DataFrame, least: int, side: int, merged: int = MERG
     return _numbered(packed.repartition(buckets, "bucket").mapInArrow(sums, "key long, a long"), ["key"])
 
 
-def _with_word_ids(chunks: DataFrame, found: DataFrame) -> DataFrame:
-    """Chunks with ``ids``: the place and id of each of their words that is in ``found``; chunks without one go.
+#: Chunks with the ids of their frequent keys.
+WITH_IDS = "chunk long, lang string, size int, at binary, n_keys int, ids array<long>"
 
-    Each chunk asks for its different words only, so a word comes up once a chunk however frequent it is.
+
+def _id_row(batch, i: int, n_keys: int, place: np.ndarray, number: np.ndarray):
+    import pyarrow as pa
+    ids = pa.ListArray.from_arrays(pa.array([0, len(place)], pa.int32()), pa.array(place.astype(np.int64) << 32 | number))
+    return pa.RecordBatch.from_arrays([*(batch.column(c).slice(i, 1) for c in range(4)), pa.array([n_keys], pa.int32()), ids], ["chunk", "lang", "size", "at", "n_keys", "ids"])
+
+
+def _with_word_ids(chunks: DataFrame, found: DataFrame, sent: int = SENT) -> DataFrame:
+    """Chunks with ``ids``: the place and id of each of their words that is in ``found``.
+
+    Up to an eighth of ``sent`` frequent words go to the tasks.  Beyond, each chunk asks
+    for its different words in a join, where a word comes up once a chunk however
+    frequent it is.
     """
-    asked = chunks.select("chunk", "lang", F.posexplode("keys").alias("place", "key"))
-    return _joined(chunks.withColumn("n_keys", F.size("keys")), counted_join(asked, found.select("lang", "key", "id"), ["lang", "key"]))
+    if found.count() > sent // 8:
+        asked = chunks.select("chunk", "lang", F.posexplode("keys").alias("place", "key"))
+        return _joined(chunks.withColumn("n_keys", F.size("keys")), asked.join(found.select("lang", "key", "id"), ["lang", "key"]))
+    table: dict[str, dict[str, int]] = {}
+    for lang, key, number in zip(*(c.to_pylist() for c in found.select("lang", "key", "id").toArrow().columns)):
+        table.setdefault(lang, {})[key] = number
+    table = chunks.sparkSession.sparkContext.broadcast(table)
+
+    def run(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                words = batch.column(4)[i].values.to_pylist()
+                number = np.fromiter(map(table.value.get(batch.column(1)[i].as_py(), {}).get, words, repeat(-1)), np.int64, len(words))
+                place = np.flatnonzero(number >= 0)
+                yield _id_row(batch, i, len(words), place, number[place])
+    return chunks.select("chunk", "lang", "size", "at", "keys").mapInArrow(run, WITH_IDS)
 
 
 def _joined(chunks: DataFrame, hits: DataFrame) -> DataFrame:
@@ -266,7 +294,6 @@ def _joined(chunks: DataFrame, hits: DataFrame) -> DataFrame:
 
 def _with_pair_ids(chunks: DataFrame, found: DataFrame, sent: int = SENT) -> DataFrame:
     """The same for pairs.  Up to ``sent`` frequent pairs go to the tasks as sorted arrays; more meet the chunks' pairs in a shuffle."""
-    kind = "chunk long, lang string, size int, at binary, n_keys int, ids array<long>"
     if found.count() > sent:
         def asked(batches):
             import pyarrow as pa
@@ -282,16 +309,14 @@ def _with_pair_ids(chunks: DataFrame, found: DataFrame, sent: int = SENT) -> Dat
     table = chunks.sparkSession.sparkContext.broadcast((key[order], number[order].astype(np.int64)))
 
     def run(batches):
-        import pyarrow as pa
         key, number = table.value
         for batch in batches:
             for i in range(batch.num_rows if len(key) else 0):
                 own = _unpack_keys(batch.column(5)[i].as_py(), batch.column(4)[i].as_py())
                 place = np.minimum(np.searchsorted(key, own), len(key) - 1)
                 hit = np.flatnonzero(key[place] == own)
-                ids = pa.ListArray.from_arrays(pa.array([0, len(hit)], pa.int32()), pa.array(hit << 32 | number[place[hit]]))
-                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(i, 1) for c in range(5)), ids], ["chunk", "lang", "size", "at", "n_keys", "ids"])
-    return chunks.select("chunk", "lang", "size", "at", "n_keys", "keys").mapInArrow(run, kind)
+                yield _id_row(batch, i, len(own), hit, number[place[hit]])
+    return chunks.select("chunk", "lang", "size", "at", "n_keys", "keys").mapInArrow(run, WITH_IDS)
 
 
 def phrases(docs: DataFrame, least: int = 100, longest: int = 5, chunk: int = CHUNK, side: int = SIDE, dense: int = DENSE,
@@ -315,7 +340,7 @@ def phrases(docs: DataFrame, least: int = 100, longest: int = 5, chunk: int = CH
     rows = found.select("id", "lang", F.array("key").alias("words"), "a", F.array("a").alias("heads"), F.array("a").alias("tails"))
     levels = []
     for k in range(2, longest + 1):
-        chunks = cut_lineage(pair_chunks(_with_word_ids(chunks, found) if k == 2 else _with_pair_ids(chunks, found, sent), side, dense))
+        chunks = cut_lineage(pair_chunks(_with_word_ids(chunks, found, sent) if k == 2 else _with_pair_ids(chunks, found, sent), side, dense))
         found = _frequent_pairs(chunks, least, side, merged)
         first = rows.select(F.col("id").alias("left"), "lang", F.col("words").alias("begin"), "heads")
         last = rows.select(F.col("id").alias("right"), F.element_at("words", -1).alias("end"), "tails")
