@@ -1,22 +1,20 @@
-"""Connected components, modularity, community statistics and a parallel
-Louvain-style community detection, all keyed by ``graph`` so several graphs
+"""Connected components, modularity, community statistics, modularity
+communities and label propagation, all keyed by ``graph`` so several graphs
 (global, fake, real) run in the same rounds.
 
-Graphs are treated as undirected (u <= v, one row per pair).  Louvain here is
-level-synchronous: in a round every eligible vertex (hash parity alternates by
-round, so neighbours do not swap back and forth) moves to the neighbouring
-community with the largest modularity gain; when no vertex moves, communities
-are contracted into vertices (internal weight becomes a self-loop) and the
-next level starts.  Every round is a few joins and group-bys over the edge
-list; the only driver value is the number of moves.
+Graphs are treated as undirected (u <= v, one row per pair).  The modularity
+communities are level-synchronous: rounds of moves that cannot spoil one
+another run until no vertex gains by moving, communities are split into
+connected parts and contracted into vertices (internal weight becomes a
+self-loop), and the next level starts.  Every round is a few joins and
+group-bys over the edge list; the driver sees one number per graph and round.
 """
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.hashing import md5_u32
-from ..session import cut_lineage
+from ..session import cut_lineage, written
 from .components import contract
 
 
@@ -102,72 +100,198 @@ def community_stats(nodes: DataFrame, und: DataFrame, partition: DataFrame) -> D
                     (2.0 * F.col("num_edges") / n).alias("avg_degree"))
 
 
-def louvain(spark: SparkSession, nodes: DataFrame, und: DataFrame, gamma: float = 1.0,
-            max_rounds: int = 6, max_levels: int = 2, seed: int = 42) -> DataFrame:
+def adjacency(und: DataFrame) -> DataFrame:
+    """Symmetric entries (graph, a, b, w) of (graph, u, v[, w]); a self-loop is one entry that counts twice,
+    so strengths and twice the total weight are plain sums."""
+    w = F.col("w").cast("double") if "w" in und.columns else F.lit(1.0)
+    rows = und.select("graph", "u", "v", w.alias("w"))
+    loop = F.col("u") == F.col("v")
+    return (rows.select("graph", F.col("u").alias("a"), F.col("v").alias("b"), F.when(loop, 2.0 * F.col("w")).otherwise(F.col("w")).alias("w"))
+            .unionAll(rows.where(~loop).select("graph", F.col("v").alias("a"), F.col("u").alias("b"), "w")))
+
+
+def best_moves(adj: DataFrame, comm: DataFrame, gamma: float = 1.0) -> DataFrame:
+    """(graph, a, cur, to, k, dw, delta) for every vertex that gains by moving alone to a neighbour's community.
+
+    ``comm`` is (graph, a, c, k, two_m).  delta is two_m^2 / 2 times the gain in
+    modularity: whole numbers for whole weights and gamma = 1, so a gain is told
+    from none exactly below 2^53.  The largest gain counts, ties to the smallest
+    community.
+    """
+    to = comm.select("graph", F.col("a").alias("b"), F.col("c").alias("to"))
+    w = (adj.where(F.col("a") != F.col("b")).join(to, ["graph", "b"]).groupBy("graph", "a", "to").agg(F.sum("w").alias("w")))
+    total = comm.groupBy("graph", F.col("c").alias("to")).agg(F.sum("k").alias("big"))
+    each = (w.join(total, ["graph", "to"]).join(comm.withColumnRenamed("c", "cur"), ["graph", "a"])
+            .withColumn("stays", F.col("to") == F.col("cur")))
+    own = total.withColumnRenamed("to", "cur").withColumnRenamed("big", "big_cur")
+    near = each.groupBy("graph", "a", "cur", "k", "two_m").agg(
+        F.coalesce(F.max(F.when(F.col("stays"), F.col("w"))), F.lit(0.0)).alias("w_cur"),
+        F.max_by(F.struct("to", "w", "big"), F.struct(
+            F.when(F.col("stays"), F.lit(float("-inf"))).otherwise(F.col("two_m") * F.col("w") - gamma * F.col("k") * F.col("big")), -F.col("to"))).alias("m"))
+    dw = F.col("m.w") - F.col("w_cur")
+    return (near.join(own, ["graph", "cur"])
+            .select("graph", "a", "cur", F.col("m.to").alias("to"), "k", dw.alias("dw"),
+                    (F.col("two_m") * dw - gamma * F.col("k") * (F.col("m.big") - F.col("big_cur") + F.col("k"))).alias("delta"))
+            .where((F.col("to") != F.col("cur")) & (F.col("delta") > 0)))
+
+
+def _apart(adj: DataFrame, moves: DataFrame) -> DataFrame:
+    """Moves of which no two are neighbours: those that gain more than every moving neighbour (ties: the smaller vertex)."""
+    here = moves.select("graph", "a", F.struct("delta", -F.col("a")).alias("mine"))
+    there = moves.select("graph", F.col("a").alias("b"), F.struct("delta", -F.col("a")).alias("theirs"))
+    beaten = (adj.where(F.col("a") != F.col("b")).join(here, ["graph", "a"]).join(there, ["graph", "b"])
+              .where(F.col("theirs") > F.col("mine")).select("graph", "a").distinct())
+    return moves.join(beaten, ["graph", "a"], "left_anti")
+
+
+def _moved(comm: DataFrame, moves: DataFrame) -> DataFrame:
+    return comm.join(moves.select("graph", "a", "to"), ["graph", "a"], "left").select("graph", "a", F.coalesce("to", "c").alias("c"), "k", "two_m")
+
+
+def _quality(adj: DataFrame, comm: DataFrame, gamma: float) -> dict[str, float]:
+    """two_m^2 times the modularity of each graph: exact for whole weights and gamma = 1 below 2^53."""
+    inside = (adj.join(comm.select("graph", "a", F.col("c").alias("ca")), ["graph", "a"])
+              .join(comm.select("graph", F.col("a").alias("b"), F.col("c").alias("cb")), ["graph", "b"])
+              .where(F.col("ca") == F.col("cb")).select("graph", F.col("w").alias("inside"), F.lit(0.0).alias("square")))
+    big = comm.groupBy("graph", "c").agg(F.sum("k").alias("big")).select("graph", F.lit(0.0).alias("inside"), (F.col("big") * F.col("big")).alias("square"))
+    got = (inside.unionAll(big).groupBy("graph").agg(F.sum("inside").alias("inside"), F.sum("square").alias("square"))
+           .join(comm.groupBy("graph").agg(F.max("two_m").alias("two_m")), "graph").collect())  # a row for each graph
+    return {r["graph"]: r["two_m"] * r["inside"] - gamma * r["square"] for r in got}
+
+
+def _one_each(moves: DataFrame) -> DataFrame:
+    """Moves that gain the most (ties: the smallest vertex) in both communities they touch, so no community is touched
+    twice and their gains add up; the best move of all is among them."""
+    order = F.struct("delta", -F.col("a"))
+    ends = moves.select("graph", "a", F.explode(F.array("cur", "to")).alias("c"), order.alias("order"))
+    top = ends.groupBy("graph", "c").agg(F.max_by("a", "order").alias("top"))
+    both = top.select("graph", F.col("c"), F.col("top"))
+    return (moves.join(both.withColumnRenamed("c", "cur").withColumnRenamed("top", "top_cur"), ["graph", "cur"])
+            .join(both.withColumnRenamed("c", "to").withColumnRenamed("top", "top_to"), ["graph", "to"])
+            .where((F.col("top_cur") == F.col("a")) & (F.col("top_to") == F.col("a"))).select(*moves.columns))
+
+
+def settle(adj: DataFrame, comm: DataFrame, gamma: float = 1.0, seen=None) -> tuple[DataFrame, bool]:
+    """Moves vertices until none gains by moving; returns comm and whether any moved.
+
+    A round first tries half of the moves, drawn by a hash of vertex and round, all
+    at once.  A graph whose modularity would not rise by that tries the moves that are no
+    neighbours of one another, then one move per community, whose gains add up.
+    So modularity rises in every round, no partition comes twice and the rounds end
+    by themselves.  ``seen`` is called with each round's quality per graph.
+    """
+    quality, rounds = _quality(adj, comm, gamma), 0
+    while True:
+        moves = cut_lineage(best_moves(adj, comm, gamma))
+        open_graphs = {r["graph"] for r in moves.select("graph").distinct().collect()}
+        draw = F.pmod(F.xxhash64("a", F.lit(rounds)), F.lit(2)) == 0
+        rounds += 1
+        chosen = None
+        for pick in (lambda m: m.where(draw), lambda m: _apart(adj, m), _one_each):
+            if not open_graphs:
+                break
+            some = pick(moves.where(F.col("graph").isin(sorted(open_graphs))))
+            after = written(_moved(comm, some), "communities")
+            better = {g: q for g, q in _quality(adj, after, gamma).items() if g in open_graphs and q > quality[g]}
+            if better:
+                quality = quality | better
+                part = after.where(F.col("graph").isin(sorted(better)))
+                chosen = part if chosen is None else chosen.unionByName(part)
+                open_graphs -= set(better)
+        if chosen is None:
+            return comm, rounds > 1
+        done = [r["graph"] for r in chosen.select("graph").distinct().collect()]
+        rest = comm.where(~F.col("graph").isin(done))
+        comm = written(chosen.unionByName(rest), "communities") if len(done) < len(quality) else chosen
+        if seen:
+            seen(quality)
+
+
+def connected_parts(adj: DataFrame, comm: DataFrame) -> DataFrame:
+    """comm with every community split into its connected parts, named by their smallest vertex.
+
+    Parts without an edge between them add nothing to what is inside a community but
+    to its square, so a split never lowers the modularity.
+    """
+    side = lambda v, c: comm.select("graph", F.col("a").alias(v), F.col("c").alias(c))
+    inside = (adj.where(F.col("a") < F.col("b")).join(side("a", "ca"), ["graph", "a"]).join(side("b", "cb"), ["graph", "b"]).where("ca = cb"))
+    parts = connected_components(adj.sparkSession, comm.select("graph", F.col("a").alias("node_id")),
+                                 inside.select("graph", F.col("a").alias("u"), F.col("b").alias("v")))
+    return comm.drop("c").join(parts.select("graph", F.col("node_id").alias("a"), F.col("component").alias("c")), ["graph", "a"])
+
+
+def _with_strength(adj: DataFrame, part: DataFrame | None) -> DataFrame:
+    """(graph, a, c, k, two_m): each vertex its own community, or that of ``part`` (graph, a, c)."""
+    k = adj.groupBy("graph", "a").agg(F.sum("w").alias("k"))
+    k = k.withColumn("c", F.col("a")) if part is None else k.join(part, ["graph", "a"])
+    two_m = adj.groupBy("graph").agg(F.sum("w").alias("two_m"))
+    return written(k.join(two_m, "graph").select("graph", "a", "c", "k", "two_m"), "communities")
+
+
+def _contracted(adj: DataFrame, part: DataFrame) -> DataFrame:
+    """Adjacency of the communities (graph, a, c); what lies inside one becomes its self-loop."""
+    side = lambda v, c: part.select("graph", F.col("a").alias(v), F.col("c").alias(c))
+    return written(adj.join(side("a", "ca"), ["graph", "a"]).join(side("b", "cb"), ["graph", "b"])
+                   .groupBy("graph", F.col("ca").alias("a"), F.col("cb").alias("b")).agg(F.sum("w").alias("w")), "communities")
+
+
+def louvain(spark: SparkSession, nodes: DataFrame, und: DataFrame, gamma: float = 1.0, seen=None) -> DataFrame:
     """(graph, node_id, community_id); community ids are the smallest member id.
 
-    Adjacency is kept as symmetric entries (a, b, w) with a self-loop entry
-    counting twice, so strengths and 2m are plain sums at every level."""
-    und_w = und.select("graph", "u", "v", F.lit(1.0).alias("w"))
-    adj = (und_w.select("graph", F.col("u").alias("a"), F.col("v").alias("b"),
-                        F.when(F.col("u") == F.col("v"), 2.0 * F.col("w")).otherwise(F.col("w")).alias("w"))
-           .unionAll(und_w.where(F.col("u") != F.col("v"))
-                     .select("graph", F.col("v").alias("a"), F.col("u").alias("b"), "w")))
-    adj = cut_lineage(adj)
-    vert = cut_lineage(nodes.select("graph", F.col("node_id").alias("a")).distinct())
-    membership = vert.select("graph", F.col("a").alias("node_id"), F.col("a").alias("vertex"))
-    two_m = cut_lineage(adj.groupBy("graph").agg(F.sum("w").alias("two_m")))
-    for level in range(max_levels):
-        strength = (vert.join(adj.groupBy("graph", "a").agg(F.sum("w").alias("k")), ["graph", "a"], "left")
-                    .select("graph", "a", F.coalesce("k", F.lit(0.0)).alias("k")))
-        strength = cut_lineage(strength.join(two_m, "graph", "left").fillna(0.0, ["two_m"]))
-        # materialised so the optimiser does not carry "c = a" as a constraint
-        comm = cut_lineage(strength.select("graph", "a", F.col("a").alias("c")))
-        moved_any = False
-        quiet = 0
-        for r in range(max_rounds):
-            cc = comm.withColumnRenamed("a", "b").withColumnRenamed("c", "cb")
-            w_ac = (adj.where(F.col("a") != F.col("b")).join(cc, ["graph", "b"])
-                    .groupBy("graph", "a", F.col("cb").alias("c")).agg(F.sum("w").alias("w_ac")))
-            own = comm.select("graph", "a", "c", F.lit(0.0).alias("w_ac"))
-            cand = w_ac.unionByName(own).groupBy("graph", "a", "c").agg(F.sum("w_ac").alias("w_ac"))
-            big_k = (comm.join(strength.select("graph", "a", "k"), ["graph", "a"])
-                     .groupBy("graph", "c").agg(F.sum("k").alias("big_k")))
-            me = comm.join(strength, ["graph", "a"]).withColumnRenamed("c", "cur")
-            g = (cand.join(me, ["graph", "a"]).join(big_k, ["graph", "c"])
-                 .withColumn("kx", F.col("big_k") - F.when(F.col("c") == F.col("cur"), F.col("k")).otherwise(0.0))
-                 .withColumn("gain", F.when(F.col("two_m") > 0,
-                                            2.0 * F.col("w_ac") / F.col("two_m")
-                                            - 2.0 * F.lit(gamma) * F.col("kx") * F.col("k")
-                                            / (F.col("two_m") * F.col("two_m"))).otherwise(0.0)))
-            best = g.groupBy("graph", "a", "cur").agg(
-                F.max_by("c", F.struct("gain", -F.col("c"))).alias("best_c"),
-                F.max("gain").alias("best_gain"),
-                F.max(F.when(F.col("c") == F.col("cur"), F.col("gain"))).alias("stay_gain"))
-            eligible = F.pmod(md5_u32(F.lit(seed), F.col("a"), F.lit(level), F.lit(r)), F.lit(2)) == 0
-            move = eligible & (F.col("best_gain") > F.col("stay_gain") + F.lit(1e-12)) & (F.col("best_c") != F.col("cur"))
-            nxt = cut_lineage(best.select("graph", "a", F.when(move, F.col("best_c")).otherwise(F.col("cur")).alias("c"),
-                                          move.alias("moved")))
-            n_moved = nxt.where("moved").count()
-            comm = nxt.select("graph", "a", "c")
-            if n_moved:
-                moved_any = True
-                quiet = 0
-            else:
-                quiet += 1
-                if quiet >= 2:
-                    break
-        n_vertices = vert.count()
-        n_comms = comm.select("graph", "c").distinct().count()
-        if not moved_any or n_comms >= n_vertices:
+    The nodes settle, communities are split into connected parts and become the
+    vertices of a level that settles in turn, until a level moves nothing; then the
+    nodes settle anew from there, and all ends when none of them moves.  So no node
+    and no community gains by moving, and every community is connected.  There is no
+    limit of rounds or levels.  A node without an edge is a community of its own.
+    """
+    base = cut_lineage(adjacency(und))
+    part, first = None, True
+    while True:
+        comm, moved = settle(base, _with_strength(base, part), gamma, seen)
+        if not moved and not first:
+            break
+        first = False
+        part = written(connected_parts(base, comm).select("graph", "a", "c"), "communities")
+        adj = _contracted(base, part)
+        while True:
+            comm, moved = settle(adj, _with_strength(adj, None), gamma, seen)
+            if not moved:
+                break
+            up = written(connected_parts(adj, comm).select("graph", "a", "c"), "communities")
+            part = written(part.withColumnRenamed("c", "v").join(up.withColumnRenamed("a", "v"), ["graph", "v"]).select("graph", "a", "c"), "communities")
+            adj = _contracted(adj, up)
+    member = (nodes.select("graph", "node_id").distinct().join(part.withColumnRenamed("a", "node_id"), ["graph", "node_id"], "left")
+              .select("graph", "node_id", F.coalesce("c", "node_id").alias("vertex")))
+    label = member.groupBy("graph", "vertex").agg(F.min("node_id").alias("community_id"))
+    return member.join(label, ["graph", "vertex"]).select("graph", "node_id", "community_id")
+
+
+def label_propagation(nodes: DataFrame, und: DataFrame, rounds: int | None = None) -> DataFrame:
+    """(graph, node_id, community_id) by weighted synchronous label propagation.
+
+    Every node starts with its own id and in each round takes the label of the
+    largest weight among its neighbours and itself (a weight of 1 for its own
+    label, which keeps pairs from swapping labels for ever); ties go to the
+    smallest label.  It ends when no label changes, when the labels of two rounds
+    before come back (the labels of the round that repeats are returned), or after
+    ``rounds`` rounds if given.  Longer cycles cannot occur: with symmetric weights
+    synchronous majority rounds end in a cycle of one or two, ties being settled
+    by a fixed order.
+    """
+    adj = cut_lineage(adjacency(und).where(F.col("a") != F.col("b")))
+    now = written(nodes.select("graph", F.col("node_id").alias("a")).distinct().withColumn("c", F.col("a")), "labels")
+    before = None
+    done = 0
+    while rounds is None or done < rounds:
+        near = adj.join(now.select("graph", F.col("a").alias("b"), "c"), ["graph", "b"]).select("graph", "a", "c", "w")
+        votes = near.unionByName(now.select("graph", "a", "c", F.lit(1.0).alias("w"))).groupBy("graph", "a", "c").agg(F.sum("w").alias("w"))
+        after = written(votes.groupBy("graph", "a").agg(F.max_by("c", F.struct("w", -F.col("c"))).alias("c")), "labels")
+        done += 1
+
+        def same(x):
+            return x is not None and after.join(x, ["graph", "a", "c"], "left_anti").isEmpty()
+        if same(now) or same(before):
+            now = after
             break
-        # contract: communities become vertices; entries summed per community pair
-        ca = comm.withColumnRenamed("c", "ca")
-        cb = comm.withColumnRenamed("a", "b").withColumnRenamed("c", "cb")
-        adj = cut_lineage(adj.join(ca, ["graph", "a"]).join(cb, ["graph", "b"])
-                          .groupBy("graph", F.col("ca").alias("a"), F.col("cb").alias("b")).agg(F.sum("w").alias("w")))
-        membership = cut_lineage(membership.join(comm.withColumnRenamed("a", "vertex"), ["graph", "vertex"])
-                                 .select("graph", "node_id", F.col("c").alias("vertex")))
-        vert = cut_lineage(comm.select("graph", F.col("c").alias("a")).distinct())
-    label = membership.groupBy("graph", "vertex").agg(F.min("node_id").alias("community_id"))
-    return membership.join(label, ["graph", "vertex"]).select("graph", "node_id", "community_id")
+        before, now = now, after
+    return now.select("graph", F.col("a").alias("node_id"), F.col("c").alias("community_id"))

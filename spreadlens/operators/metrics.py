@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import clean_text, is_stop_word, parse_ids
+from .prefix import running_sums
 
 
 def with_clean_text(news: DataFrame, src_col: str = "text", dest_col: str = "clean_text") -> DataFrame:
@@ -103,9 +104,9 @@ def box_stats(df: DataFrame, value: str, by: str, positive_only: bool = False) -
 def ecdf(df: DataFrame, value: str, by: str) -> DataFrame:
     """Empirical CDF step points: (group, value, cum_prob = P(X <= value))."""
     counts = (df.where(F.col(by).isNotNull()).groupBy(by, value).agg(F.count(F.lit(1)).alias("n")))
-    w = Window.partitionBy(by).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    wall = Window.partitionBy(by)
-    return counts.select(by, value, (F.sum("n").over(w) / F.sum("n").over(wall)).alias("cum_prob"))
+    upto = running_sums(counts, [F.col(value)], {"upto": F.col("n")}, (by,))
+    totals = counts.groupBy(by).agg(F.sum("n").alias("total"))
+    return upto.join(totals, by).select(by, value, (F.col("upto") / F.col("total")).alias("cum_prob"))
 
 
 def _erfc(z: Column) -> Column:
@@ -130,11 +131,10 @@ def mann_whitney(df: DataFrame, value: str, group: str, x_value, y_value) -> Dat
     g = F.col(group)
     counts = (df.where(g.isin(x_value, y_value)).groupBy(value)
               .agg(F.sum((g == x_value).cast("bigint")).alias("nx"), F.sum((g == y_value).cast("bigint")).alias("ny")))
-    w = Window.orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     t = F.col("nx") + F.col("ny")
     many = F.col("t").cast("double")  # a bigint's cube overflows from 2,097,152 ties on
-    ranked = counts.select("nx", "ny", t.alias("t"),
-                           (F.coalesce(F.sum(t).over(w), F.lit(0)) + (t + 1) / 2.0).alias("avg_rank"))
+    ranked = running_sums(counts, [F.col(value)], {"upto": t}).select(
+        "nx", "ny", t.alias("t"), (F.col("upto") - t + (t + 1) / 2.0).alias("avg_rank"))
     s = ranked.agg(F.sum("nx").alias("n1"), F.sum("ny").alias("n2"),
                    F.sum(F.col("nx").cast("double") * F.col("avg_rank")).alias("r1"),
                    F.sum(many * many * many - many).alias("tie_term"))

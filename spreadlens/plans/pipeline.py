@@ -55,7 +55,7 @@ def links(spark: SparkSession, nodes: DataFrame, edges: DataFrame, out: str, dam
 def communities(spark: SparkSession, nodes: DataFrame, edges: DataFrame, out: str,
                 resolution: float = 1.0, seed: int = 42) -> None:
     und = CM.undirected(edges)
-    part = CM.louvain(spark, nodes, und, resolution, seed=seed)
+    part = CM.louvain(spark, nodes, und, resolution)
     write_table(part, f"{out}/communities")
     write_table(CM.community_stats(nodes, und, part), f"{out}/community_statistics")
     write_table(CM.modularity(nodes, und, part, resolution), f"{out}/modularity")

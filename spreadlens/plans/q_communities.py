@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import communities as CM
+from ..session import cut_lineage, written
 from .q_links import _graphs
 from .registry import query, sql_view
 
@@ -25,7 +26,7 @@ def components(spark, d):
 
 def louvain(spark, d, with_labels=False):
     gn, und = und_graph(spark, d, with_labels)
-    return gn, und, CM.louvain(spark, gn, und, RESOLUTION, seed=SEED)
+    return gn, und, CM.louvain(spark, gn, und, RESOLUTION)
 
 
 sql_view("und", "SELECT DISTINCT least(src, dst) AS u, greatest(src, dst) AS v FROM int_edges", ("int_edges",))
@@ -97,7 +98,7 @@ def q_communities(spark, d):
 
 def _summary(spark, d, with_labels):
     gn, und, part = louvain(spark, d, with_labels)
-    part = part.persist()
+    part = cut_lineage(part)
     q = CM.modularity(gn, und, part, RESOLUTION)
     sizes = part.groupBy("graph", "community_id").agg(F.count(F.lit(1)).alias("size"))
     s = sizes.groupBy("graph").agg(F.count(F.lit(1)).alias("n_communities"), F.max("size").alias("largest_size"))
@@ -120,3 +121,54 @@ def q_top_communities(spark, d):
     st = CM.community_stats(gn, und, part)
     return (st.orderBy(F.col("size").desc(), F.col("community_id").asc()).limit(20)
             .select("community_id", "size", "num_edges", "density", "avg_degree"))
+
+
+LABEL_ROUNDS = 3
+
+sql_view("und_adj", "SELECT u AS a, v AS b FROM und WHERE u <> v UNION ALL SELECT v, u FROM und WHERE u <> v", ("und",))
+sql_view("labels0", "SELECT node_id, node_id AS c FROM int_nodes", ("int_nodes",))
+for _k in range(LABEL_ROUNDS):
+    sql_view(f"labels{_k + 1}", f"""
+        SELECT node_id, c FROM (
+            SELECT node_id, c, row_number() OVER (PARTITION BY node_id ORDER BY count(*) DESC, c) AS r FROM (
+                SELECT e.a AS node_id, l.c FROM und_adj e JOIN labels{_k} l ON l.node_id = e.b
+                UNION ALL SELECT node_id, c FROM labels{_k}) x
+            GROUP BY node_id, c) y
+        WHERE r = 1""", ("und_adj", f"labels{_k}"))
+
+
+@query("label_communities", f"SELECT node_id, c AS community_id FROM labels{LABEL_ROUNDS}")
+def q_label_communities(spark, d):
+    """Label propagation on the interaction graph, three rounds (fewer if labels stand still or swap, which the rounds after would repeat)."""
+    gn, und = und_graph(spark, d)
+    return CM.label_propagation(gn, und, LABEL_ROUNDS).select("node_id", "community_id")
+
+
+def louvain_faults(adj, part, nodes):
+    """Counts that are zero for a right partition: nodes without a community, communities not named by their smallest
+    member, parts of communities beyond the first, vertices that would gain by moving alone."""
+    comm = (part.select("graph", F.col("node_id").alias("a"), F.col("community_id").alias("c"))
+            .join(adj.groupBy("graph", "a").agg(F.sum("w").alias("k")), ["graph", "a"])
+            .join(adj.groupBy("graph").agg(F.sum("w").alias("two_m")), "graph"))
+    comm = written(comm, "communities")
+    counts = [
+        nodes.select("graph", "node_id").distinct().join(part, ["graph", "node_id"], "left_anti").agg(F.count(F.lit(1)).alias("uncovered")),
+        part.groupBy("graph", "community_id").agg(F.min("node_id").alias("least")).agg(F.count_if(F.col("least") != F.col("community_id")).alias("misnamed")),
+        CM.connected_parts(adj, comm).select("graph", "c").distinct().agg(F.count(F.lit(1)).alias("parts")),
+        comm.select("graph", "c").distinct().agg(F.count(F.lit(1)).alias("whole")),
+        CM.best_moves(adj, comm, RESOLUTION).agg(F.count(F.lit(1)).alias("gaining")),
+    ]
+    out = nodes.select("graph", "node_id").distinct().agg(F.count(F.lit(1)).alias("n_nodes"))
+    for one in counts:
+        out = out.crossJoin(one)  # one row each
+    return out.select("n_nodes", "uncovered", "misnamed", (F.col("parts") - F.col("whole")).alias("split"), "gaining")
+
+
+@query("community_faults", """
+    SELECT count(*) AS n_nodes, CAST(0 AS BIGINT) AS uncovered, CAST(0 AS BIGINT) AS misnamed, CAST(0 AS BIGINT) AS split, CAST(0 AS BIGINT) AS gaining
+    FROM int_nodes""")
+def q_community_faults(spark, d):
+    """What must hold of ``communities`` whatever partition is found (see ``louvain_faults``)."""
+    gn, und, part = louvain(spark, d)
+    part = written(part, "communities")
+    return louvain_faults(cut_lineage(CM.adjacency(und)), part, gn)
