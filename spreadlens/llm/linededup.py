@@ -98,18 +98,6 @@ def _near_earlier(docs: DataFrame, occurrences: DataFrame) -> DataFrame:
     return best.join(mine, "id").join(theirs, "found").filter(within_one_edit(F.col("a"), F.col("b"))).select("h1", "h2").distinct()
 
 
-def _runs(x: Column, size: int, f) -> Column:
-    """An array's runs of ``size`` elements, each put together by ``f`` from two that overlap or meet."""
-    def joined(step):
-        return lambda v: F.transform(v, lambda y, i: f(y, F.get(v, i + step)))
-    s = 1
-    while s < size:
-        step = min(s, size - s)
-        x = F.transform(F.array(x), joined(step))[0]  # binds x, which is then taken once
-        s += step
-    return F.transform(F.array(x), lambda v: F.slice(v, F.lit(1), F.size(v) - (size - 1)))[0]
-
-
 def _as_chars(codes: Column) -> Column:
     """A text with one character for each number under 2^20."""
     return F.decode(F.unhex(F.array_join(F.transform(codes, lambda c: F.lpad(F.hex(c + F.lit(0x10000)), 8, "0")), "")), "UTF-32")
@@ -119,35 +107,72 @@ def _code(word: Column) -> Column:
     return F.pmod(F.xxhash64(word), F.lit(1 << 20))
 
 
+#: Longs of a line's bitmap of words.
+BITMAP = 4
+
+
+def _bitmap(hashes: str) -> list[Column]:
+    """For each of 64 * BITMAP places by hash, whether an odd number of words falls on it: an edit changes two at most."""
+    of = F.col(hashes)
+    bit = lambda h: F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(h, 8).bitwiseAND(F.lit(63).cast("long")).cast("int"))
+    return [F.aggregate(F.filter(of, lambda h: F.pmod(h, F.lit(BITMAP)) == i), F.lit(0).cast("long"), lambda a, h: a.bitwiseXOR(bit(h))).alias(f"b{i}")  # noqa: B023
+            for i in range(BITMAP)]
+
+
+def _class_variants(long: DataFrame, words_per_edit: int) -> DataFrame:
+    """h1, key: the hashes of each line's variants that have the words of one class left, all others deleted.
+
+    For a bound of k edits the words are dealt into 2k + 1 classes by their hash.  An
+    inserted or deleted word touches one class and a replaced one two, so two lines
+    within k edits have a class that no edit touches: their variants with the words of
+    that class are equal.  The bound is the longer line's, so a line of n words gives
+    the variants of every k from n / words_per_edit to n / (words_per_edit - 1).  A
+    variant's hash is the xor of its words' hashes, 0 if no word is left.
+    """
+    each = (long.select(F.monotonically_increasing_id().alias("id"), "h1", "n", F.transform("words", lambda w: F.xxhash64(w)).alias("hashes"))
+            .select("id", "h1", "hashes", F.explode(F.sequence(F.greatest(F.lit(2), F.floor(F.col("n") / words_per_edit).cast("int")),
+                                                               F.floor(F.col("n") / (words_per_edit - 1)).cast("int"))).alias("k")))
+    at = lambda c, h: F.struct(c.cast("int").alias("c"), h.alias("h"))
+    word = each.select("id", "h1", "k", F.explode(F.concat(
+        F.transform("hashes", lambda h: at(F.pmod(h, 2 * F.col("k") + 1), h)),
+        F.transform(F.sequence(F.lit(0), 2 * F.col("k")), lambda c: at(c, F.lit(0).cast("long"))))).alias("w"))
+    return (word.groupBy("id", "h1", "k", F.col("w.c").alias("c")).agg(F.bit_xor("w.h").alias("left"))
+            .select("h1", F.xxhash64("k", "c", "left").alias("key")))
+
+
 def _near_earlier_long(docs: DataFrame, near: DataFrame, min_words: int, words_per_edit: int) -> DataFrame:
     """h1, h2 of the distinct lines that have an earlier one within an edit for each ``words_per_edit`` words of the longer, two at least.
 
-    Such two lines share a run of 2 (words_per_edit - 1) / 3 words, as j edits leave
-    j + 1 runs of j words_per_edit - j words or more.  So of every window of a line the
-    least hash of its shingles is taken, window and shingle together as long as that
-    run: they share one.  Lines that are ``near`` already are only compared with.
+    Equal variants (see ``_class_variants``) are joined.  A line is held first against the
+    earliest line of each of its variants, then against the earliest that its bitmap of
+    words lets pass, and only what is still left against all of those; lines that are
+    ``near`` already are only compared with.
     """
-    run = 2 * (words_per_edit - 1) // 3
-    shingle = run // 2
     bound = lambda a, b: F.greatest(F.lit(1), F.floor(F.greatest(a, b) / words_per_edit)).cast("int")
     each = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).select(_order().alias("ord"), _words(F.col("line")).alias("words"))
-    long = each.withColumn("n", F.size("words")).filter(F.col("n") >= max(min_words, 2 * words_per_edit - 2))
-    hashed = long.select(*_hashes(), "n", "ord", _runs(F.transform("words", lambda w: F.xxhash64(w)), shingle, F.xxhash64).alias("all"))
-    long_lines = cut_lineage(hashed.select("h1", "h2", "n", "ord", F.array_distinct(_runs(F.col("all"), run - shingle + 1, F.least)).alias("keys")))
-    # keys are shuffled with one number of their line only
-    flat = long_lines.select("h1", F.explode("keys").alias("key"))
+    long = each.withColumn("n", F.size("words")).filter(F.col("n") >= max(min_words, 2 * words_per_edit - 2)).select("ord", "n", "words", *_hashes())
+    flat = cut_lineage(_class_variants(long, words_per_edit))
     shared = cut_lineage(flat.groupBy("key").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).filter("a <> b").select("key"))
     hits = cut_lineage(counted_join(flat, shared, ["key"]).distinct())
-    lines = cut_lineage(counted_join(long_lines.select("h1", "h2", "n", "ord"), cut_lineage(hits.select("h1").distinct()), ["h1"], "left_semi")
+    lines = cut_lineage(counted_join(long.select("h1", "h2", "n", "ord"), cut_lineage(hits.select("h1").distinct()), ["h1"], "left_semi")
                         .groupBy("h1", "h2", "n").agg(F.min("ord").alias("ord")))
-    members = cut_lineage(hits.join(lines, "h1").select("key", "h1", "h2", "n", "ord"))
-    text = cut_lineage(counted_join(long.select("ord", "words", *(h.alias(n) for h, n in zip(_hashes(), ("g1", "g2")))),
-                                    lines.select("h1", "h2", "ord"), ["ord"]).filter("h1 = g1 and h2 = g2").select("h1", "h2", "words", _as_chars(F.transform("words", _code)).alias("chars")).dropDuplicates(["h1", "h2"]))
+    text = cut_lineage(counted_join(long.withColumnsRenamed({"h1": "g1", "h2": "g2"}), lines.select("h1", "h2", "ord"), ["ord"])
+                       .filter("h1 = g1 and h2 = g2").dropDuplicates(["h1", "h2"])
+                       .select("h1", "h2", "n", "ord", "words", _as_chars(F.transform("words", _code)).alias("chars"),
+                               F.transform("words", lambda w: F.xxhash64(w)).alias("hashes"))
+                       .select("h1", "h2", "n", "ord", "words", "chars", *_bitmap("hashes")))
+    bits = [f"b{i}" for i in range(BITMAP)]
+    members = cut_lineage(hits.join(text.select("h1", "h2", "n", "ord", *bits), "h1"))
+
+    def alike(n, m, mine, theirs):
+        """Whether lengths and bitmaps let two lines be within the bound."""
+        apart = sum((F.bit_count(F.col(x).bitwiseXOR(F.col(y))) for x, y in zip(mine, theirs)), F.lit(0))
+        return (F.abs(F.col(n) - F.col(m)) <= bound(F.col(n), F.col(m))) & (apart <= 2 * bound(F.col(n), F.col(m)))
 
     def close(pairs):
-        """h1, h2 of the lines of pairs (h1, h2, n and the earlier line's e1, e2, m) that are within the bound."""
-        of = pairs.filter(F.abs(F.col("n") - F.col("m")) <= bound(F.col("n"), F.col("m"))).select("h1", "h2", "e1", "e2").distinct()
-        both = of.join(text, ["h1", "h2"]).join(text.select(F.col("h1").alias("e1"), F.col("h2").alias("e2"), F.col("words").alias("others"),
+        """h1, h2 of the lines of pairs (h1, h2 and the earlier line's e1, e2) that are within the bound."""
+        of = pairs.select("h1", "h2", "e1", "e2").distinct()
+        both = of.join(text.select("h1", "h2", "words", "chars"), ["h1", "h2"]).join(text.select(F.col("h1").alias("e1"), F.col("h2").alias("e2"), F.col("words").alias("others"),
                                                             F.col("chars").alias("other_chars")), ["e1", "e2"])
         most = bound(F.size("words"), F.size("others"))
         within = lambda x, y: F.call_function("levenshtein", x, y, most) >= 0
@@ -160,14 +185,24 @@ def _near_earlier_long(docs: DataFrame, near: DataFrame, min_words: int, words_p
                  .filter("levenshtein(words_at, others_at, most) >= 0"))
         return near_by_code.filter("exact").select("h1", "h2").union(again.select("h1", "h2")).distinct()
 
-    # first each line against the earliest that it shares a key with, so that most of a group of copies is settled without pairs
-    earliest = members.groupBy("key").agg(F.min(F.struct("ord", "h1", "h2", "n")).alias("e"))
-    todo = members.join(near, ["h1", "h2"], "left_anti")
-    settled = cut_lineage(close(todo.join(earliest, "key").filter(F.col("e.ord") < F.col("ord"))
-                                .select("h1", "h2", "n", F.col("e.h1").alias("e1"), F.col("e.h2").alias("e2"), F.col("e.n").alias("m"))))
-    others = members.select("key", F.col("h1").alias("e1"), F.col("h2").alias("e2"), F.col("n").alias("m"), F.col("ord").alias("before"))
-    rest = close(todo.join(settled, ["h1", "h2"], "left_anti").join(others, "key").filter("before < ord").select("h1", "h2", "n", "e1", "e2", "m"))
-    return settled.union(rest)
+    theirs = [f"e_{b}" for b in bits]
+    others = members.select("key", F.col("h1").alias("e1"), F.col("h2").alias("e2"), F.col("n").alias("m"), F.col("ord").alias("before"),
+                            *(F.col(b).alias(e) for b, e in zip(bits, theirs)))
+    first = others.groupBy("key").agg(F.min_by(F.struct("before", "e1", "e2", "m", *theirs), F.struct("before", "e1", "e2")).alias("e")).select("key", "e.*")
+    earlier = (F.col("before") < F.col("ord")) & alike("n", "m", bits, theirs)
+    todo = cut_lineage(members.join(near, ["h1", "h2"], "left_anti"))
+    # most of a group of copies is settled by its earliest line, without pairs
+    settled = cut_lineage(close(todo.join(first, "key").filter(earlier)))
+    todo = cut_lineage(todo.join(settled, ["h1", "h2"], "left_anti"))
+    # then by the earliest of all that pass: pairs are made and aggregated one by one, not written
+    best = (todo.join(others, "key").filter(earlier).groupBy("h1", "h2")
+            .agg(F.min_by(F.struct("e1", "e2"), F.struct("before", "e1", "e2")).alias("e")).select("h1", "h2", "e.e1", "e.e2"))
+    tried = cut_lineage(best)
+    more = cut_lineage(close(tried))
+    # a line that nothing passed for has no partner; those whose partner is further off than the bitmaps show are held against all
+    left = cut_lineage(todo.join(tried.join(more, ["h1", "h2"], "left_anti").select("h1", "h2"), ["h1", "h2"], "left_semi"))
+    rest = close(left.join(others, "key").filter(earlier).select("h1", "h2", "e1", "e2"))
+    return settled.union(more).union(rest)
 
 
 def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS, words_per_edit: int | None = None, equal_words: int | None = None) -> DataFrame:

@@ -52,6 +52,17 @@ def test_line_dedup_of_short_lines(spark):
     assert got == {1: text, 3: "quite other words stand in this line\n\nthe END now", 4: "\n \n"}
 
 
+def test_near_copy_without_a_common_line(spark):
+    """The same words in lines of another width: line_dedup finds nothing equal or near, near_dedup keeps one."""
+    words = [f"w{i * 7919 % 1009}" for i in range(400)]
+    wrapped = lambda width: "\n".join(" ".join(words[i:i + width]) for i in range(0, len(words), width))
+    rows = [(1, wrapped(60), "en", "a", 1), (2, wrapped(97), "en", "a", 1), (3, "some other text of five words", "en", "a", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    lines = cp.drop_lines(spark, docs, SF)
+    assert {r["doc_id"]: r["text"] for r in lines.collect()} == {r[0]: r[1] for r in rows}
+    assert sorted(r["doc_id"] for r in cp.drop_near_duplicates(spark, lines, SF).collect()) == [1, 3]
+
+
 def test_empty_tables(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
     for _, stage in cp.STAGES:
