@@ -26,9 +26,13 @@ def ranks_file() -> str:
 
 
 class Counter:
-    """Tokens of a text in a vocabulary given as ranks; special tokens' strings are ordinary text."""
+    """Tokens of a text in a vocabulary given as ranks; special tokens' strings are ordinary text.
 
-    def __init__(self, file: str):
+    Texts that the pattern engine gives up on, such as a million blanks, are encoded
+    with the tokenizers file of the same vocabulary.
+    """
+
+    def __init__(self, file: str, tokenizer: str | None = None):
         import base64
 
         import public_tokenizers
@@ -37,8 +41,21 @@ class Counter:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.encode = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
+        self.file, self.whole = tokenizer or public_tokenizers.path("byte_bpe_50k.json"), None
+
     def __call__(self, text: str) -> int:
-        return len(self.encode(text)) if text else 0
+        if not text:
+            return 0
+        try:
+            return len(self.encode(text))
+        except BaseException as e:  # the engine's own panic is no Exception
+            if isinstance(e, (KeyboardInterrupt, SystemExit, MemoryError)):
+                raise
+        if self.whole is None:
+            from tokenizers import Tokenizer
+            self.whole = Tokenizer.from_file(self.file)
+            self.whole.encode_special_tokens = True
+        return len(self.whole.encode(text, add_special_tokens=False).ids)
 
 
 def _cuts(text: str, leaf: int) -> list[int]:

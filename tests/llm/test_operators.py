@@ -345,6 +345,19 @@ def test_short_items_in_long_documents(spark):
     assert sorted((r["doc_id"], r["item_id"] or 0) for r in got.collect()) == [(1, 0), (1, 1), (3, 0), (3, 1)]
 
 
+def test_token_counts_of_a_million_blanks(spark):
+    """Texts that the pattern engine gives up on are counted by the tokenizers file, special strings as ordinary text."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+    plain = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    plain.encode_special_tokens = True
+    texts = [" " * 1_000_000, "\n" * 1_000_000, " " * 1_200_000 + "a", "a <|endoftext|> b", "words " + " " * 1_000_000 + "<|endoftext|> 12345678 %%%"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_tokens"], r["n_tokens_edited"]) for r in tokencounts.apply_edits(tokencounts.cleaning_edits(tokencounts.build(docs))).collect()}
+    ids = lambda t: len(plain.encode(t, add_special_tokens=False).ids)
+    assert got == {i: (ids(t), ids(t.replace("12345678", "0").replace("%%%", ""))) for i, t in enumerate(texts)}
+
+
 def test_line_dedup_rules(spark):
     rows = [(2, "one two three four five six\nshort line\nseven eight nine ten eleven"), (1, "one two three four FIVE six"),
             (3, "one two three four five\nshort line"), (4, "one two three four five six seven"), (5, "zero one two three four five six seven eight"),
