@@ -1,6 +1,7 @@
 """Secret scan with corpus-wide ownership frequency."""
 from __future__ import annotations
 
+import bisect
 import hashlib
 import math
 import re
@@ -17,7 +18,8 @@ ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
 PEM = re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----[A-Za-z0-9+/=\s]+-----END [A-Z ]*PRIVATE KEY-----")
-JWT = re.compile(r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}")
+#: A jwt is three runs of these, of 8 at least after its eyJ, with points between.
+JWT_RUN = re.compile(r"[A-Za-z0-9_-]*")
 PREFIXED = re.compile(r"(?:gh[pousr]_|github_pat_|glpat-|xox[abprs]-|sk_live_|AIza)[A-Za-z0-9_-]{16,}")
 LONG_RUN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}")
 
@@ -26,6 +28,43 @@ def _entropy(s: str) -> float:
     return -sum(n / len(s) * math.log2(n / len(s)) for n in (s.count(c) for c in set(s)))
 
 
+def _jwts(text: str) -> list[tuple[int, int]]:
+    """Leftmost non-overlapping jwts.
+
+    Where the runs after one eyJ fail, they fail after every later eyJ of its first run
+    too, so the search goes on behind that run and reads each run three times at most.
+    """
+    out, at = [], text.find("eyJ")
+    while at >= 0:
+        first = JWT_RUN.match(text, at + 3).end()
+        after = first
+        if first - at >= 11 and text[first:first + 1] == ".":
+            second = JWT_RUN.match(text, first + 1).end()
+            if second - first >= 9 and text[second:second + 1] == ".":
+                third = JWT_RUN.match(text, second + 1).end()
+                if third - second >= 9:
+                    out.append((at, third))
+                    after = third
+        at = text.find("eyJ", after)
+    return out
+
+
+def _free_of(spans: list[tuple[int, int]]):
+    """Whether (start, end) meets none of ``spans``, by bisection among them, merged."""
+    starts, ends = [], []
+    for s, e in sorted(spans):
+        if ends and s <= ends[-1]:
+            ends[-1] = max(ends[-1], e)
+        else:
+            starts.append(s)
+            ends.append(e)
+
+    def free(s: int, e: int) -> bool:
+        i = bisect.bisect_right(ends, s)
+        return i == len(starts) or e <= starts[i]
+    return free
+
+
 def candidates(text: str | None) -> list[tuple[int, int, int, str]]:
     """(kind, start, end, secret) of a whole text: base matches, then further ones that meet no base match."""
     text = text or ""
@@ -38,19 +77,18 @@ def candidates(text: str | None) -> list[tuple[int, int, int, str]]:
     runs = list(LONG_RUN.finditer(text))
     # 24 of 0-9a-f in a row lie in a run of 20 of the wider class
     out += [(2, m.start(), m.end(), m[0]) for r in runs if r.end() - r.start() >= 24 for m in HEX.finditer(text, r.start(), r.end())]
-    base = [(s, e) for _, s, e, _ in out]
-    free = lambda s, e: all(e <= a or b <= s for a, b in base)
+    free = _free_of([(s, e) for _, s, e, _ in out])
     more = []
     if "PRIVATE KEY-----" in text:
         more += [(3, m.start(), m.end(), m[0]) for m in PEM.finditer(text)]
     if "eyJ" in text:
-        more += [(4, m.start(), m.end(), m[0]) for m in JWT.finditer(text)]
+        more += [(4, s, e, text[s:e]) for s, e in _jwts(text)]
     if runs:
         more += [(5, m.start(), m.end(), m[0]) for m in PREFIXED.finditer(text)]
     for kind, s, e, secret in more:
         if free(s, e):
             out.append((kind, s, e, secret))
-    base = [(s, e) for _, s, e, _ in out]
+    free = _free_of([(s, e) for _, s, e, _ in out])
     for m in runs:
         run = m[0]
         if (any(c.isdigit() for c in run) and any(c.islower() for c in run) and any(c.isupper() for c in run)

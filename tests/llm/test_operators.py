@@ -376,6 +376,26 @@ def test_secrets_by_owners_and_repositories(spark):
     assert [got[d] for d in (0, 60, 30, 40)] == [[(1, 11, False)], [(1, 14, True)], [(3, 3, False)], [(1, 10, True)]]
 
 
+def test_secret_candidates_of_long_odd_texts():
+    """jwts and free spans against their plain definitions; texts that hold many beginnings of a jwt or many spans take linear time."""
+    import re
+    import time
+    jwt = re.compile(r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}")
+    rng = random.Random(5)
+    for _ in range(3000):
+        text = "".join(rng.choice(["eyJ", "eyJ", ".", ".", "abcdefgh", "ABCDEFG-1", "x_", " "]) for _ in range(rng.randrange(30)))
+        assert secrets._jwts(text) == [m.span() for m in jwt.finditer(text)]
+        spans = [(a, a + rng.randrange(1, 9)) for a in (rng.randrange(60) for _ in range(rng.randrange(7)))]
+        free = secrets._free_of(spans)
+        for s in range(0, 66, 3):
+            assert free(s, s + 4) == all(s + 4 <= a or b <= s for a, b in spans)
+    start = time.time()
+    assert not [c for c in secrets.candidates("eyJ" * 350_000) if c[0] == 4]
+    found = secrets.candidates("token=abcdef123 Zq9xW8vU7tS6rP5oN4mL3kJ2 " * 40_000)
+    assert sum(c[0] == 0 for c in found) == sum(c[0] == 6 for c in found) == 40_000
+    assert time.time() - start < 20
+
+
 def words_apart(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
