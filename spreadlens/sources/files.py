@@ -5,12 +5,10 @@ Layouts follow the reference data: article CSVs named ``<source>_<fake|real>.csv
 tweet JSON (one object per file, or JSON lines) with Twitter's nested fields.
 Reading is Spark's CSV / JSON sources with declared options; per-file choices
 (which column holds the text, which the id) are made from each file's header,
-which is metadata, not data.
+which is joined to its rows: one scan reads all files.
 """
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -30,87 +28,74 @@ CSV_OPTIONS = {"header": "true", "multiLine": "true", "escape": '"', "quote": '"
                "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
 
 
-def list_files(spark: SparkSession, root: str, glob: str = "*.csv") -> list[str]:
-    """File paths under ``root`` (recursive), sorted; the listing runs in Spark."""
-    files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-             .option("pathGlobFilter", glob).load(root).select("path"))
-    return sorted(r["path"] for r in files.collect())
+#: Columns that a CSV file may have; a file with more is an error.
+MAX_COLUMNS = 128
+
+
+def list_files(spark: SparkSession, root: str, glob: str = "*.csv") -> DataFrame:
+    """(path) of the files under ``root`` (recursive); a table, since there may be many."""
+    return (spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+            .option("pathGlobFilter", glob).load(root).select("path"))
 
 
-def pick_column(columns: list[str], candidates: tuple[str, ...], what: str, where: str = "") -> str:
-    """First candidate present in ``columns``; error if none."""
-    for c in candidates:
-        if c in columns:
-            return c
-    raise ValueError(f"could not find a {what} column in {where or 'input'}; columns were {columns}")
+def read_csv_files(spark: SparkSession, root: str, max_columns: int = MAX_COLUMNS) -> DataFrame:
+    """Every record of the CSV files under ``root``: (path, header, cells, row_index), in one scan whatever their headers.
 
+    ``header`` is the file's first record, up to its last name; ``row_index`` counts the
+    others from 0.  A multi-line file is never split, so ids that rise along a partition
+    rise along each file without a gap, and the first record is the one with the least.
+    A file without a record gives nothing; one with more than ``max_columns`` is an error.
+    """
+    names = [f"c{i}" for i in range(max_columns + 1)]
+    cells = F.array(*names)
+    scan = (spark.read.options(**{**CSV_OPTIONS, "header": "false"}, recursiveFileLookup="true", pathGlobFilter="*.csv")
+            .schema(", ".join(f"{n} string" for n in names)).csv(root))
+    rows = scan.select(F.col("_metadata.file_path").alias("path"), cells.alias("cells"), F.monotonically_increasing_id().alias("at"))
+    used = F.array_max(F.transform(F.col("head"), lambda c, i: F.when(c.isNotNull(), i + 1)))
+    heads = (rows.groupBy("path").agg(F.min("at").alias("first"), F.min_by("cells", "at").alias("head"))
+             .select("path", "first", F.when(F.col("head")[max_columns].isNull(), F.slice("head", F.lit(1), F.coalesce(used, F.lit(0))))
+                     .otherwise(F.raise_error(F.concat(F.lit(f"more than {max_columns} columns in "), "path"))).alias("header")))
+    return (rows.join(heads, "path").where(F.col("at") > F.col("first"))
+            .select("path", "header", "cells", (F.col("at") - F.col("first") - 1).alias("row_index")))
 
-def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.options(**CSV_OPTIONS).csv(path)
 
+def _cell(name: str | F.Column) -> F.Column:
+    """A record's cell in the column called ``name``; null where the file has none."""
+    return F.get("cells", (F.array_position("header", name) - 1).cast("int"))
 
-def _with_row_index(df: DataFrame, name: str) -> DataFrame:
-    """0-based row index of one file: a multi-line CSV is one partition, so the running id starts at 0 and has no gap."""
-    return df.withColumn(name, F.monotonically_increasing_id())
+
+def _first_name(candidates: tuple[str, ...]) -> F.Column:
+    """The first candidate that the header has, else null."""
+    return F.get(F.filter(F.array(*map(F.lit, candidates)), lambda c: F.array_contains("header", c)), F.lit(0))
 
 
 def load_news(spark: SparkSession, root: str) -> DataFrame:
-    """Every ``<source>_<label>`` CSV under ``root`` -> (news_id, text, label, source)."""
-    parts = []
-    for path in list_files(spark, root):
-        m = re.findall(SOURCE_LABEL_PATTERN, path)
-        if not m:
-            continue
-        source, label_name = m[-1]
-        df = read_csv(spark, path)
-        id_col = next((c for c in ID_CANDIDATES if c in df.columns), None)
-        if id_col is None:
-            df = _with_row_index(df, "news_id")
-            id_col = "news_id"
-        text_col = pick_column(df.columns, TEXT_CANDIDATES, "text", path)
-        parts.append(df.select(F.col(id_col).cast("string").alias("news_id"), F.col(text_col).alias("text"),
-                               F.lit(LABEL_BY_NAME.get(label_name)).cast("int").alias("label"),
-                               F.lit(source).alias("source")))
-    if not parts:
-        return spark.createDataFrame([], "news_id string, text string, label int, source string")
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    """Every ``<source>_<label>`` CSV under ``root`` -> (news_id, text, label, source).
+
+    Text is the first of TEXT_CANDIDATES that the file has, without which it is an
+    error; the id the first of ID_CANDIDATES, else the row index."""
+    found = lambda g: F.element_at(F.regexp_extract_all("path", F.lit(SOURCE_LABEL_PATTERN), F.lit(g)), -1)
+    named = read_csv_files(spark, root).where(F.regexp_like("path", F.lit(SOURCE_LABEL_PATTERN)))
+    picked = named.withColumns({"text_name": _first_name(TEXT_CANDIDATES), "id_name": _first_name(ID_CANDIDATES)})
+    missing = F.raise_error(F.concat(F.lit("could not find a text column in "), "path", F.lit("; columns were "), F.array_join("header", ", ")))
+    label = F.create_map(*[F.lit(x) for pair in LABEL_BY_NAME.items() for x in pair])
+    return picked.select(
+        F.when(F.col("id_name").isNull(), F.col("row_index").cast("string")).otherwise(_cell(F.col("id_name"))).alias("news_id"),
+        F.when(F.col("text_name").isNull(), missing).otherwise(_cell(F.col("text_name"))).alias("text"),
+        F.try_element_at(label, found(2)).cast("int").alias("label"), found(1).alias("source"))
 
 
 def raw_stack(spark: SparkSession, root: str) -> DataFrame:
-    """(id, tweet_ids) from every raw CSV; missing id -> row index, missing tweet_ids -> ''."""
-    parts = []
-    for path in list_files(spark, root):
-        df = read_csv(spark, path)
-        if "id" not in df.columns:
-            df = _with_row_index(df, "id")
-        tid = F.col("tweet_ids") if "tweet_ids" in df.columns else F.lit("")
-        parts.append(df.select(F.col("id").cast("string").alias("id"),
-                               F.coalesce(tid.cast("string"), F.lit("")).alias("tweet_ids")))
-    if not parts:
-        return spark.createDataFrame([], "id string, tweet_ids string")
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    """(id, tweet_ids) from every raw CSV; no column id -> row index, no or empty tweet_ids -> ''."""
+    return read_csv_files(spark, root).select(
+        F.when(F.array_contains("header", "id"), _cell("id")).otherwise(F.col("row_index").cast("string")).alias("id"),
+        F.coalesce(_cell("tweet_ids"), F.lit("")).alias("tweet_ids"))
 
 
 def file_catalog(spark: SparkSession, root: str) -> DataFrame:
-    """(file_name, n_rows, n_columns) per non-empty CSV file under ``root``."""
-    parts = []
-    for path in list_files(spark, root):
-        df = read_csv(spark, path)
-        parts.append(df.select(F.col("_metadata.file_name").alias("file_name"))
-                     .withColumn("n_columns", F.lit(len(df.columns)).cast("bigint")))
-    if not parts:
-        return spark.createDataFrame([], "file_name string, n_rows bigint, n_columns bigint")
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return (out.groupBy("file_name", "n_columns").agg(F.count(F.lit(1)).alias("n_rows"))
-            .where(F.col("n_rows") > 0).select("file_name", "n_rows", "n_columns"))
+    """(file_name, n_rows, n_columns) per CSV file under ``root`` that has a row."""
+    return (read_csv_files(spark, root).groupBy("path").agg(F.count(F.lit(1)).alias("n_rows"), F.max(F.size("header")).cast("bigint").alias("n_columns"))
+            .select(F.element_at(F.split("path", "/"), -1).alias("file_name"), "n_rows", "n_columns"))
 
 
 # ------------------------------------------------------------------- tweet JSON (S7-S9)
