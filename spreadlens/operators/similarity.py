@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import label_name, snippet, unigrams_and_bigrams, vector_tokens
-from ..session import spread
+from ..session import cut_lineage, spread
 
 
 def term_counts(news_clean: DataFrame) -> DataFrame:
@@ -255,3 +255,104 @@ def pca_2d(vectors: DataFrame, col: str = "embedding", k: int = 2) -> DataFrame:
     signs = [1.0 if loadings[int(np.argmax(np.abs(loadings[:, j]))), j] >= 0 else -1.0 for j in range(k)]
     proj = model.transform(centred).select("news_id", vector_to_array("pc").alias("p"))
     return proj.select("news_id", *[(F.col("p")[j] * F.lit(signs[j])).alias(f"pc{j + 1}") for j in range(k)])
+
+
+def _entries(batch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row number, column and value of every entry of a batch of (idx, val) rows."""
+    idx, val = batch.column(batch.schema.get_field_index("idx")), batch.column(batch.schema.get_field_index("val"))
+    sizes = idx.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    flat = lambda a, kind: a.flatten().to_numpy(zero_copy_only=False).astype(kind)
+    return np.repeat(np.arange(len(sizes)), sizes), flat(idx, np.int64), flat(val, np.float64)
+
+
+def _gram_product(rows: DataFrame, block: np.ndarray) -> np.ndarray:
+    """X'X times ``block`` for the sparse rows X: each task adds up its rows, terms are summed in a shuffle."""
+    dim, m = block.shape
+    names = [f"s{j}" for j in range(m)]
+
+    def run(batches):
+        import pyarrow as pa
+        out = np.zeros((dim, m))
+        for batch in batches:
+            row, col, val = _entries(batch)
+            for j in range(m):
+                x = np.bincount(row, val * block[col, j], batch.num_rows)
+                out[:, j] += np.bincount(col, val * x[row], dim)
+        held = np.flatnonzero(out.any(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(held, pa.int32()), *(pa.array(out[held, j]) for j in range(m))], ["idx", *names])
+
+    parts = rows.select("idx", "val").mapInArrow(run, ", ".join(["idx int", *(f"{c} double" for c in names)]))
+    total = parts.groupBy("idx").agg(*(F.sum(c).alias(c) for c in names)).toPandas()  # dim rows at most
+    got = np.zeros((dim, m))
+    got[total["idx"].to_numpy(dtype=np.int64)] = total[names].to_numpy(dtype=np.float64)
+    return got
+
+
+def sparse_components(rows: DataFrame, dim: int, k: int = 2, more: int = 8, tol: float = 1e-9,
+                      max_rounds: int = 300) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(loadings dim x k, variances, mean) of the first ``k`` principal components of sparse rows (news_id, idx, val).
+
+    A random block of ``k + more`` directions is improved by locally optimal block
+    steps: the block, its residuals and its last step are multiplied by the
+    covariance in one pass over the rows, and the best directions in their span
+    go on, until the residual of the first ``k`` is under ``tol`` times the largest
+    variance.  Rows are centred implicitly, so they stay sparse, and the driver holds
+    some dim x 3 (k + more) matrices.  No convergence in ``max_rounds`` is an error.
+    Each loading vector's entry of largest magnitude is positive.
+    """
+    n = rows.count()
+    mean = np.zeros(dim)
+    sums = (rows.select(F.explode(F.arrays_zip("idx", "val")).alias("e")).groupBy(F.col("e.idx").alias("idx"))
+            .agg(F.sum("e.val").alias("s")).toPandas())  # dim rows at most
+    if n:
+        mean[sums["idx"].to_numpy(dtype=np.int64)] = sums["s"].to_numpy(dtype=np.float64) / n
+    cov = lambda q: (_gram_product(rows, q) - n * np.outer(mean, mean @ q)) / max(n - 1, 1)
+
+    def best(q, aq, width):
+        lam, y = np.linalg.eigh((q.T @ aq + aq.T @ q) / 2)
+        y = y[:, ::-1][:, :width]
+        return lam[::-1][:width], q @ y, aq @ y
+
+    width = min(k + more, dim)
+    q = np.linalg.qr(np.random.default_rng(0).standard_normal((dim, width)))[0]
+    lam, v, av = best(q, cov(q), width)
+    step = np.zeros((dim, 0))
+    for _ in range(max_rounds):
+        left = av - v * lam
+        size = np.linalg.norm(left, axis=0)
+        if (size[:k] <= tol * max(lam[0], 0.0)).all():
+            break
+        span = np.hstack([v, left / np.maximum(size, 1e-300), step])
+        q = np.linalg.qr(np.linalg.qr(span)[0])[0]
+        lam, new, av = best(q, cov(q), width)
+        step = new - v @ (v.T @ new)
+        step /= np.maximum(np.linalg.norm(step, axis=0), 1e-300)
+        v = new
+    else:
+        raise RuntimeError(f"no convergence of the principal components in {max_rounds} rounds")
+    load = v[:, :k]
+    sign = np.where(load[np.argmax(np.abs(load), axis=0), np.arange(load.shape[1])] < 0, -1.0, 1.0)
+    return load * sign, lam[:k], mean
+
+
+def pca_sparse(ids: DataFrame, vec: DataFrame, dim: int, k: int = 2) -> DataFrame:
+    """(news_id, pc1, ..., pck): sparse vectors (news_id, term_idx, weight) on their first ``k`` principal components.
+
+    Every row of ``ids`` comes out; one without a term is the zero vector.  The rows
+    are written once (a checkpoint) and read in every round.
+    """
+    rows = cut_lineage(ids.select("news_id").join(sparse_rows(vec), "news_id", "left").select(
+        "news_id", F.coalesce("idx", F.array().cast("array<int>")).alias("idx"),
+        F.coalesce("val", F.array().cast("array<double>")).alias("val")))
+    load, _, mean = sparse_components(rows, dim, k)
+    at = mean @ load
+    names = [f"pc{j + 1}" for j in range(load.shape[1])]
+
+    def run(batches):
+        import pyarrow as pa
+        for batch in batches:
+            row, col, val = _entries(batch)
+            xs = [np.bincount(row, val * load[col, j], batch.num_rows) - at[j] for j in range(len(names))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x) for x in xs)], ["news_id", *names])
+    kind = rows.schema["news_id"].dataType.simpleString()
+    return rows.mapInArrow(run, ", ".join([f"news_id {kind}", *(f"{c} double" for c in names)]))

@@ -281,3 +281,9 @@ def q_edge_checks(spark, d):
 @query("pca_2d")
 def q_pca_2d(spark, d):
     return S.pca_2d(A.vectors(spark, d))
+
+
+@query("pca_2d_tfidf")
+def q_pca_2d_tfidf(spark, d):
+    news = news_clean(spark, d)
+    return S.pca_sparse(news, S.tfidf(news, MAX_FEATURES)[0], MAX_FEATURES)
