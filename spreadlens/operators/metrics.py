@@ -29,15 +29,51 @@ def article_metrics(news: DataFrame, raw: DataFrame) -> DataFrame:
             .withColumn("has_tweets", F.col("tweet_count") > 0))
 
 
+def quantiles(df: DataFrame, value: str, qs: dict[str, float], by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, name, ...): exact quantiles of each group with linear interpolation; a row for each group that has a value.
+
+    ``qs`` gives the share of each name.  Values are counted first, the counts
+    summed up over range partitions of (group, value), and the two rows whose
+    counts hold the ranks of a quantile are picked by an aggregate: no task holds
+    all distinct values of a group.  Null and NaN values take no part.
+    """
+    x = F.col(value).cast("double")
+    counts = (df.select(*by, x.alias("__x")).where(F.col("__x").isNotNull() & ~F.isnan("__x")).groupBy(*by, "__x")
+              .agg(F.count(F.lit(1)).alias("__n")))
+    upto = running_sums(counts, [F.col("__x")], {"__upto": F.col("__n")}, by)
+    sizes = counts.groupBy(*by).agg(F.sum("__n").alias("__all"))
+    if by:
+        on = [upto[c].eqNullSafe(sizes[c]) for c in by]
+        ranked = upto.join(sizes, on).select(*(upto[c] for c in by), "__x", "__n", "__upto", "__all")
+    else:
+        ranked = upto.withColumn("__all", sizes.scalar())
+    at = {name: F.lit(q) * (F.col("__all") - 1) for name, q in qs.items()}
+    holds = lambda r: (F.col("__upto") > r) & (F.col("__upto") - F.col("__n") <= r)
+    picked = ranked.groupBy(*by).agg(
+        F.max("__all").alias("__all"),
+        *(F.max(F.when(holds(F.floor(r)), F.col("__x"))).alias(f"__lo_{name}") for name, r in at.items()),
+        *(F.max(F.when(holds(F.ceil(r)), F.col("__x"))).alias(f"__hi_{name}") for name, r in at.items()))
+    part = {name: r - F.floor(r) for name, r in at.items()}
+    return picked.where(F.col("__all") > 0).select(
+        *by, *(F.when(part[name] == 0, F.col(f"__lo_{name}"))
+               .otherwise(F.col(f"__lo_{name}") * (1 - part[name]) + F.col(f"__hi_{name}") * part[name]).alias(name) for name in qs))
+
+
+QUARTILES = {"p25": 0.25, "p50": 0.5, "p75": 0.75}
+
+
 def describe(df: DataFrame, value: str, by: list[str] | None = None) -> DataFrame:
     """count, mean, sample std, min, quartiles (linear interpolation), max."""
     x = F.col(value)
-    q = F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
     aggs = [F.count(x).alias("count"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"),
-            F.min(x).cast("double").alias("min"), q.alias("_q"), F.max(x).cast("double").alias("max")]
-    g = df.where(F.col(by[0]).isNotNull()).groupBy(*by).agg(*aggs) if by else df.agg(*aggs)
-    return g.select(*(by or []), "count", "mean", "std", "min",
-                    F.col("_q")[0].alias("p25"), F.col("_q")[1].alias("p50"), F.col("_q")[2].alias("p75"), "max")
+            F.min(x).cast("double").alias("min"), F.max(x).cast("double").alias("max")]
+    if by:
+        base = df.where(F.col(by[0]).isNotNull())
+        g, q = base.groupBy(*by).agg(*aggs), quantiles(base, value, QUARTILES, tuple(by))
+        g = g.join(q, [g[c].eqNullSafe(q[c]) for c in by], "left").select(*(g[c] for c in by), *(c for c in g.columns if c not in by), *QUARTILES)
+    else:
+        g = df.agg(*aggs).join(F.broadcast(quantiles(df, value, QUARTILES)), F.lit(True), "left")  # a row at most
+    return g.select(*(by or []), "count", "mean", "std", "min", *QUARTILES, "max")
 
 
 def value_distribution(df: DataFrame, col: str) -> DataFrame:
@@ -88,9 +124,8 @@ def box_stats(df: DataFrame, value: str, by: str, positive_only: bool = False) -
     if positive_only:
         base = base.where(F.col(value) > 0)
     x = F.col(value).cast("double")
-    q = (base.groupBy(by).agg(F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("_q"),
-                              F.count(F.lit(1)).alias("n"))
-         .select(by, "n", F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("median"), F.col("_q")[2].alias("q3")))
+    q = (base.groupBy(by).agg(F.count(F.lit(1)).alias("n"))
+         .join(quantiles(base, value, {"q1": 0.25, "median": 0.5, "q3": 0.75}, (by,)), by, "left"))
     lo_fence = F.col("q1") - 1.5 * (F.col("q3") - F.col("q1"))
     hi_fence = F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))
     inside = (x >= lo_fence) & (x <= hi_fence)
@@ -193,9 +228,9 @@ def density(hist: DataFrame, by: str) -> DataFrame:
 
 
 def quantile(df: DataFrame, value: str, q: float) -> DataFrame:
-    """One row: the exact, interpolated quantile; values are counted first, so it holds distinct values only."""
-    counts = df.groupBy(F.col(value).alias("x")).agg(F.count(F.lit(1)).alias("n"))
-    return counts.agg(F.percentile("x", q, F.col("n")).alias("quantile"))
+    """One row: the exact, interpolated quantile; null without a value."""
+    one = df.sparkSession.range(1).select()
+    return one.join(F.broadcast(quantiles(df, value, {"quantile": q})), F.lit(True), "left")  # a row at most
 
 
 def share_within(df: DataFrame, group: str, col: str) -> DataFrame:
