@@ -103,6 +103,15 @@ def cascade_association_edges(raw: DataFrame) -> DataFrame:
                         F.concat(F.lit("T_"), "tweet_id").alias("dst"), F.lit("association").alias("edge_type"))
 
 
+def cascades_or_association(raw: DataFrame, user_map: DataFrame, interactions: DataFrame) -> DataFrame:
+    """(article_id, src, dst, edge_type): the cascade edges of the articles that ``user_map`` knows,
+    ``association`` edges to the listed tweets for all others."""
+    known = user_map.select("article_id").distinct()
+    other = raw.join(known, raw["id"] == known["article_id"], "left_anti")
+    return (cascade_edges(user_map, interactions).select("article_id", "src", "dst", "edge_type")
+            .unionByName(cascade_association_edges(other)))
+
+
 def cascade_summary(metrics: DataFrame, edges: DataFrame) -> DataFrame:
     """Per article: the simple summary (size = listed tweets, depth 1, width = size,
     no timestamps) plus the user counts of its cascade graph."""

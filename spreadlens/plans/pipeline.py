@@ -41,6 +41,34 @@ def graphs(spark: SparkSession, news_clean: DataFrame, raw: DataFrame, tweets: D
     write_table(C.cascade_edges(tweets, interactions), f"{out}/cascade_edges")
 
 
+def profile(spark: SparkSession, news: DataFrame, raw: DataFrame, out: str, bins: int = 50, top_k: int = 20) -> None:
+    """Tables that describe the articles: text cleaning, tweet counts by label, duplicates and missing values.
+
+    The article metrics are written first, and every other table reads that one.
+    """
+    write_table(M.article_metrics(M.with_clean_text(news), raw), f"{out}/article_metrics")
+    m = spark.read.parquet(f"{out}/article_metrics")
+    counts = {"tweet_count_describe": M.describe(m, "tweet_count"), "tweet_count_by_label": M.describe(m, "tweet_count", by=["label"]),
+              "tweet_histogram": M.histogram(m, "tweet_count", "label", bins), "tweet_box": M.box_stats(m, "tweet_count", "label"),
+              "tweet_ecdf": M.ecdf(m, "tweet_count", "label"), "mann_whitney": M.mann_whitney(m, "tweet_count", "label", 0, 1),
+              "tweet_count_p95": M.quantile(m, "tweet_count", 0.95), "top_articles": M.top_k(m, "tweet_count", top_k, "news_id", ["label", "source"])}
+    texts = {"text_lengths": M.text_length_stats(m), "text_patterns": M.regex_counts(m), "stop_words": M.stopword_check(m),
+             "label_distribution": M.value_distribution(m, "label"), "source_distribution": M.value_distribution(m, "source"),
+             "missing_values": M.missing_values(news), "duplicate_ids": M.duplicate_count(news, ["news_id"]),
+             "duplicate_texts": M.duplicate_count(m, ["clean_text"])}
+    for name, table in {**counts, **texts}.items():
+        write_table(table, f"{out}/{name}")
+
+
+def validate(spark: SparkSession, news: DataFrame, raw: DataFrame, sim_nodes: DataFrame, sim_edges: DataFrame, out: str) -> DataFrame:
+    """The validation report and samples of repeated tweets, written; returns the report as read back."""
+    metrics = M.article_metrics(news, raw)
+    bip_nodes, bip_edges = G.bipartite_graph(metrics, raw)
+    write_table(G.validation_report(news, metrics, raw, bip_nodes, bip_edges, sim_nodes, sim_edges), f"{out}/validation_report")
+    write_table(G.tweet_dupe_samples(raw), f"{out}/tweet_dupe_samples")
+    return spark.read.parquet(f"{out}/validation_report")
+
+
 def links(spark: SparkSession, nodes: DataFrame, edges: DataFrame, out: str, damping: float = 0.85,
           top_k: int = 50) -> None:
     """PageRank + HITS and rankings; ``nodes``/``edges`` carry a ``graph`` key."""

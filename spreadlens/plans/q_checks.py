@@ -19,7 +19,7 @@ from ..sources import files as FS
 from .q_cascades import _compare_sql
 from .q_graph import LABEL_NAME_SQL
 from .q_profile import box_sql, hist_sql, metrics_df
-from .q_sources import stage_articles
+from .q_sources import stage_articles, stage_tweet_json
 from .q_text import dense_knn_df
 from .registry import query, sql_view
 
@@ -204,6 +204,22 @@ def q_retweet_json_flat(spark, d):
                       F.date_format("created_at", "yyyy-MM-dd HH:mm:ss").alias("created_at"))
 
 
+@query("interaction_edges_json_all", """
+    SELECT CAST(src AS VARCHAR) AS src, CAST(dst AS VARCHAR) AS dst, interaction_type,
+           CAST(tweet_id AS VARCHAR) AS tweet_id, n_interactions FROM (
+        SELECT src, dst, kind AS interaction_type, tweet_id,
+               count(*) OVER (PARTITION BY src, dst) AS n_interactions,
+               row_number() OVER (PARTITION BY src, dst ORDER BY
+                   CASE kind WHEN 'mention' THEN 3 WHEN 'reply' THEN 2 WHEN 'retweet' THEN 1 ELSE 0 END DESC,
+                   date_trunc('second', ts) DESC, CAST(tweet_id AS VARCHAR) DESC) AS rn
+        FROM (SELECT src, dst, kind, tweet_id, ts FROM interactions
+              UNION ALL SELECT src, dst, kind, tweet_id, ts FROM interactions WHERE kind = 'retweet') b) x WHERE rn = 1""")
+def q_interaction_edges_json_all(spark, d):
+    flat = FS.read_tweets(spark, stage_tweet_json(spark, d), multi_line=False)
+    rts = FS.read_retweets(spark, stage_retweets(spark, d), whole_files=False)
+    return G.interaction_edges(FS.json_interactions(flat, rts)).drop("ts")
+
+
 # --------------------------------------------------------------------------- small profile
 
 @query("tweet_count_p95", "SELECT quantile_cont(tweet_count, 0.95) AS p95 FROM metrics")

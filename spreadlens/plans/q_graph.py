@@ -216,6 +216,21 @@ def q_cascade_assoc(spark, d):
     return C.cascade_association_edges(A.raw_articles(spark, d))
 
 
+# the user map here holds the articles that some user posted; those only answered or mentioned fall back
+sql_view("posted", "SELECT DISTINCT article_id FROM tweets WHERE kind = 'post'", ("tweets",))
+
+
+@query("cascade_fallback", """
+    SELECT article_id, src, dst, edge_type FROM casc_edges WHERE article_id IN (SELECT article_id FROM posted)
+    UNION ALL
+    SELECT DISTINCT news_id, 'A_' || news_id, 'T_' || tweet_id, 'association' FROM pairs
+    WHERE news_id NOT IN (SELECT article_id FROM posted)""")
+def q_cascade_fallback(spark, d):
+    tw = A.tweets(spark, d)
+    known = tw.join(tw.where(F.col("kind") == "post").select("article_id").distinct(), "article_id", "left_semi")
+    return C.cascades_or_association(A.raw_articles(spark, d), known, A.interactions(spark, d, tweets_df=tw))
+
+
 @query("cascade_summary", """
     SELECT m.news_id, m.tweet_count AS cascade_size, CAST(1 AS BIGINT) AS cascade_depth,
            m.tweet_count AS cascade_width, false AS has_timestamps,

@@ -180,6 +180,13 @@ def retweet_interactions(retweets: DataFrame) -> DataFrame:
                            F.lit("retweet").alias("kind"), "tweet_id", F.col("created_at").alias("ts"))
 
 
+def json_interactions(tweets: DataFrame, retweets: DataFrame) -> DataFrame:
+    """All interactions that JSON files hold: those of flat tweets and those of retweet arrays.
+
+    A retweet that both have is two interactions of the same pair of users."""
+    return tweet_interactions(tweets).unionByName(retweet_interactions(retweets))
+
+
 def path_fields(files: DataFrame, path: str = "path") -> DataFrame:
     """Adds domain, label_name and article_id from ``.../domain/label/article/(tweets|retweets)/file``, null elsewhere."""
     pattern = "([^/]+)/([^/]+)/([^/]+)/(?:tweets|retweets)/[^/]+$"
