@@ -122,8 +122,9 @@ def apply(tree: Tree, text: str, edits: list[tuple[int, int, str]], count) -> di
     lengths = tree.lengths.copy()
     if n == 0:
         region = "".join(e[2] for e in edits)
-        return {"text": region, "tokens": count(region), "leaves": int(bool(region)), "chars": len(region), "nodes": 0,
-                "lengths": [len(region)] if region else []}
+        tokens = count(region)
+        return {"text": region, "tokens": tokens, "leaves": int(bool(region)), "chars": len(region), "nodes": 0,
+                "lengths": [len(region)] if region else [], "counts": [tokens] if region else []}
     # parts: (first leaf, last leaf + 1, text) of regions to encode, found from left to right
     regions: list[list] = []
     for s, e, rep in edits:
@@ -172,7 +173,8 @@ def apply(tree: Tree, text: str, edits: list[tuple[int, int, str]], count) -> di
         leaves += b - a
         chars += len(region)
     new_text.append(text[at:])
-    return {"text": "".join(new_text), "tokens": tree.total, "leaves": leaves, "chars": chars, "nodes": nodes, "lengths": lengths.tolist()}
+    return {"text": "".join(new_text), "tokens": tree.total, "leaves": leaves, "chars": chars, "nodes": nodes, "lengths": lengths.tolist(),
+            "counts": tree.sums[tree.width:tree.width + n].tolist()}
 
 
 def build(docs: DataFrame, leaf: int = LEAF, file: str | None = None) -> DataFrame:
@@ -207,10 +209,11 @@ def apply_edits(trees: DataFrame, file: str | None = None) -> DataFrame:
     """Counts of ``trees`` (doc_id, text, lengths, counts, edits) before and after each row's edits.
 
     edits is an array of (start, end, replacement) in code points of the text; they
-    are put in order by start, then end, and one that overlaps an earlier one, or is
+    are put in order by start, then end, equal ones as given, and one that overlaps an earlier one, or is
     null or lies outside the text, is left out.  Returns doc_id, n_tokens,
     n_tokens_edited, n_edits, n_leaves, leaves_encoded, chars_encoded,
-    nodes_updated and the edited text.
+    nodes_updated, the edited text and the lengths and counts of its tree, to which
+    a next batch of edits can be applied.
     """
     file = file or ranks_file()
     trees = trees.select("doc_id", "text", "lengths", "counts", F.col("edits").cast(EDITS).alias("edits"))
@@ -223,19 +226,23 @@ def apply_edits(trees: DataFrame, file: str | None = None) -> DataFrame:
             for _, text, lengths, counts, edits in zip(*(batch.column(i).to_pylist() if i else range(batch.num_rows) for i in range(5))):
                 text, tree, last, some = text or "", Tree(lengths, counts), 0, []
                 valid = [(e["start"], e["end"], e["replacement"] or "") for e in edits or [] if e and None not in (e["start"], e["end"])]
-                for s, e, rep in sorted(valid):
+                for s, e, rep in sorted(valid, key=lambda v: v[:2]):
                     if last <= s <= e <= len(text):
                         some.append((s, e, rep))
                         last = e
                 was = tree.total
-                got = apply(tree, text, some, count) if some else {"text": text, "tokens": was, "leaves": 0, "chars": 0, "nodes": 0}
-                rows.append((was, got["tokens"], len(some), len(lengths), got["leaves"], got["chars"], got["nodes"], got["text"]))
-            cols = list(zip(*rows)) or [()] * 8
-            kinds = [pa.int64()] * 2 + [pa.int32()] * 3 + [pa.int64()] * 2 + [pa.string()]
+                got = apply(tree, text, some, count) if some else {
+                    "text": text, "tokens": was, "leaves": 0, "chars": 0, "nodes": 0, "lengths": lengths, "counts": counts}
+                rows.append((was, got["tokens"], len(some), len(lengths), got["leaves"], got["chars"], got["nodes"], got["text"],
+                             got["lengths"], got["counts"]))
+            cols = list(zip(*rows)) or [()] * 10
+            kinds = [pa.int64()] * 2 + [pa.int32()] * 3 + [pa.int64()] * 2 + [pa.string()] + [pa.list_(pa.int32())] * 2
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds))], OUT)
-    OUT = ["doc_id", "n_tokens", "n_tokens_edited", "n_edits", "n_leaves", "leaves_encoded", "chars_encoded", "nodes_updated", "text"]
+    OUT = ["doc_id", "n_tokens", "n_tokens_edited", "n_edits", "n_leaves", "leaves_encoded", "chars_encoded", "nodes_updated", "text",
+           "lengths", "counts"]
     return trees.mapInArrow(run, f"doc_id {trees.schema['doc_id'].dataType.simpleString()}, n_tokens long, n_tokens_edited long, n_edits int, "
-                                 "n_leaves int, leaves_encoded int, chars_encoded long, nodes_updated long, text string")
+                                 "n_leaves int, leaves_encoded int, chars_encoded long, nodes_updated long, text string, "
+                                 "lengths array<int>, counts array<int>")
 
 
 def cleaning_edits(docs: DataFrame) -> DataFrame:
@@ -260,6 +267,9 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every whole text of ``documents`` before and after the cleaning edits, by its tree.
 
     Null and empty texts have none; repeated rows come out again; an empty table gives no rows.
+    A very long text is counted whole, leaf by leaf; one that the pattern engine gives up on
+    goes through the tokenizers file.  Further columns of the table are not read.
     """
     trees = build(documents(spark, sf_dir))
-    return apply_edits(cleaning_edits(trees)).withColumn("edited_crc32", F.crc32(F.col("text").cast("binary"))).drop("text")
+    return (apply_edits(cleaning_edits(trees)).withColumn("edited_crc32", F.crc32(F.col("text").cast("binary")))
+            .drop("text", "lengths", "counts"))
