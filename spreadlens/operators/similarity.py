@@ -28,34 +28,43 @@ from ..functions.text import label_name, snippet, unigrams_and_bigrams, vector_t
 from ..session import cut_lineage, spread
 
 
-def term_counts(news_clean: DataFrame) -> DataFrame:
-    """(news_id, term, tf) from cleaned text."""
+def doc_terms(news_clean: DataFrame) -> DataFrame:
+    """(news_id, term): a row for every occurrence of a term in cleaned text."""
     docs = spread(news_clean.select("news_id", "clean_text"))
     # tokens are a column of their own: the bigram lambda reads them many times
     toks = docs.select("news_id", vector_tokens(F.col("clean_text")).alias("toks"))
-    terms = toks.select("news_id", F.explode(unigrams_and_bigrams(F.col("toks"))).alias("term"))
-    return terms.groupBy("news_id", "term").agg(F.count(F.lit(1)).alias("tf"))
+    return toks.select("news_id", F.explode(unigrams_and_bigrams(F.col("toks"))).alias("term"))
 
 
-def vocabulary(tf: DataFrame, n_docs: int, max_features: int = 20000) -> DataFrame:
-    """(term, term_idx, cf, df, idf) for the top ``max_features`` terms by corpus frequency."""
-    stats = tf.groupBy("term").agg(F.sum("tf").alias("cf"), F.count(F.lit(1)).alias("df"))
-    top = stats.orderBy(F.col("cf").desc(), F.col("term").asc()).limit(max_features)
+def top_terms(terms: DataFrame, max_features: int = 20000) -> DataFrame:
+    """(term, term_idx, cf) of the ``max_features`` terms with the most occurrences, counted without regard to documents."""
+    counted = terms.groupBy("term").agg(F.count(F.lit(1)).alias("cf"))
+    top = counted.orderBy(F.col("cf").desc(), F.col("term").asc()).limit(max_features)
     w = Window.orderBy(F.col("cf").desc(), F.col("term").asc())  # over <= max_features rows
-    return top.select("term", (F.row_number().over(w) - 1).cast("int").alias("term_idx"), "cf", "df",
-                      (F.log((1.0 + F.lit(n_docs)) / (1.0 + F.col("df"))) + 1.0).alias("idf"))
+    return top.select("term", (F.row_number().over(w) - 1).cast("int").alias("term_idx"), "cf")
 
 
 def tfidf(news_clean: DataFrame, max_features: int = 20000) -> tuple[DataFrame, DataFrame]:
-    """Returns (vectors(news_id, term, term_idx, weight), vocabulary)."""
+    """Returns (vectors(news_id, term, term_idx, weight), vocabulary(term, term_idx, cf, df, idf)).
+
+    The vocabulary is chosen first, by a count that combines on the map side; only
+    its terms are counted by document, and that table is written once (a
+    checkpoint) for the document frequencies, the weights and the norms.
+    """
     n_docs = news_clean.select(F.count(F.lit(1))).scalar()
-    tf = term_counts(news_clean)
-    vocab = vocabulary(tf, n_docs, max_features)
-    # vocabulary is bounded by max_features rows: a safe broadcast
-    w = tf.join(F.broadcast(vocab.select("term", "term_idx", "idf")), "term").select(
+    terms = doc_terms(news_clean)
+    top = cut_lineage(top_terms(terms, max_features))
+    # the vocabulary is bounded by max_features rows: a safe broadcast
+    tf = cut_lineage(terms.join(F.broadcast(top.select("term", "term_idx")), "term")
+                     .groupBy("news_id", "term_idx").agg(F.count(F.lit(1)).alias("tf")))
+    df = tf.groupBy("term_idx").agg(F.count(F.lit(1)).alias("df"))
+    vocab = top.join(F.broadcast(df), "term_idx").select(
+        "term", "term_idx", "cf", "df", (F.log((1.0 + F.lit(n_docs)) / (1.0 + F.col("df"))) + 1.0).alias("idf"))
+    w = tf.join(F.broadcast(vocab.select("term", "term_idx", "idf")), "term_idx").select(
         "news_id", "term", "term_idx", (F.col("tf") * F.col("idf")).alias("w"))
-    norm = w.groupBy("news_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    vec = w.join(norm, "news_id").select("news_id", "term", "term_idx", (F.col("w") / F.col("norm")).alias("weight"))
+    norm = w.groupBy(F.col("news_id").alias("id")).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    vec = w.join(norm, F.col("news_id").eqNullSafe(F.col("id"))).select(
+        "news_id", "term", "term_idx", (F.col("w") / F.col("norm")).alias("weight"))
     return vec, vocab
 
 
