@@ -30,7 +30,7 @@ def stage_raw(spark, d) -> str:
 
 
 def stage_tweet_json(spark, d) -> str:
-    """Tweets as Twitter-shaped JSON lines, one folder per article."""
+    """Tweets as Twitter-shaped JSON lines, each with its article: as many files as tasks, whatever the number of articles."""
     path = staging_path(spark, "tweets_json")
     tw = A.tweets(spark, d)
     inter = A.interactions(spark, d, tweets_df=tw).select("tweet_id", "dst")
@@ -48,7 +48,7 @@ def stage_tweet_json(spark, d) -> str:
         F.struct(F.when((F.col("kind") == "mention") & F.col("dst").isNotNull(), F.array(uid("dst")))
                  .otherwise(F.array().cast("array<struct<id_str:string>>")).alias("user_mentions"))
         .alias("entities"))
-    doc.write.mode("overwrite").partitionBy("article_id").json(path)
+    doc.write.mode("overwrite").json(path)
     return path
 
 
