@@ -31,3 +31,42 @@ def test_tweet_json_files_do_not_grow_with_articles(spark, tmp_path):
     assert {(r["src"], r["dst"], r["n_interactions"]) for r in edges.collect()} == {
         (str(r["src"]), str(r["dst"]), r["n_interactions"]) for r in want.collect()}
     assert edges.agg(F.count(F.lit(1))).first()[0] > 20
+
+
+def test_icm_state_is_a_row_for_each_node_and_chunk(spark, monkeypatch):
+    """Places in chunks instead of a row for each article and node; same reach as a plain search, null articles and hubs too."""
+    from spreadlens.functions.hashing import md5_u32, mix_unit
+    from spreadlens.operators import cascades as C
+    monkeypatch.setattr(C, "CHUNK", 7)
+    monkeypatch.setattr(C, "LIST", 3)
+    monkeypatch.setattr(C, "COINS", 50)
+    stored = {}
+    real = C.written
+
+    def written(df, name):
+        out = real(df, name)
+        stored.setdefault(name, []).append(out.count())
+        return out
+    monkeypatch.setattr(C, "written", written)
+    pairs = [(i, (i * 7 + j * j) % 40) for i in range(40) for j in range(5)] + [(i, 0) for i in range(1, 40)] + [(0, i) for i in range(1, 40)]
+    edges = spark.createDataFrame(pairs, "src long, dst long")
+    seeds = spark.createDataFrame([(f"a{i}", i % 40) for i in range(60)] + [("a1", 5), ("a1", 5)], "article_id string, node_id long")
+    coins = (seeds.select("article_id").distinct().crossJoin(edges.distinct())
+             .withColumn("coin", mix_unit(md5_u32(F.lit(42), F.col("article_id")), md5_u32(F.lit(42), F.col("src"), F.col("dst")))))
+    live = {}
+    for r in coins.where("coin < 0.3").collect():
+        live.setdefault((r["article_id"], r["src"]), set()).add(r["dst"])
+    want = {(r["article_id"], r["node_id"]): 0 for r in seeds.collect()}
+    now, step = set(want), 0
+    while now:
+        step += 1
+        now = {(a, d) for a, n in now for d in live.get((a, n), ())} - set(want)
+        want |= {k: step for k in now}
+    got = C.icm_activation(spark, edges, seeds, p=0.3)
+    rows = got.collect()
+    assert len(rows) == len(want) and {(r["article_id"], r["node_id"]): r["step"] for r in rows} == want
+    assert max(stored["frontier"]) < len(want) / 3
+    none = C.icm_activation(spark, spark.createDataFrame([(1, 2), (2, 3)], "src long, dst long"),
+                            spark.createDataFrame([(None, 1), ("b", 1)], "article_id string, node_id long"), p=1.0)
+    assert sorted(map(str, map(tuple, none.collect()))) == sorted(map(str, [(None, 1, 0), (None, 2, 1), (None, 3, 2), ("b", 1, 0), ("b", 2, 1), ("b", 3, 2)]))
+    assert sorted(map(tuple, C.icm_activation(spark, edges, seeds, p=1.0, max_steps=0).collect())) == sorted((a, n, 0) for a, n in {tuple(r) for r in seeds.collect()})
