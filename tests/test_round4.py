@@ -70,3 +70,19 @@ def test_icm_state_is_a_row_for_each_node_and_chunk(spark, monkeypatch):
                             spark.createDataFrame([(None, 1), ("b", 1)], "article_id string, node_id long"), p=1.0)
     assert sorted(map(str, map(tuple, none.collect()))) == sorted(map(str, [(None, 1, 0), (None, 2, 1), (None, 3, 2), ("b", 1, 0), ("b", 2, 1), ("b", 3, 2)]))
     assert sorted(map(tuple, C.icm_activation(spark, edges, seeds, p=1.0, max_steps=0).collect())) == sorted((a, n, 0) for a, n in {tuple(r) for r in seeds.collect()})
+
+
+def test_tfidf_cleans_each_text_once(spark):
+    """The vocabulary and the counts by document read one table of tokens."""
+    from spreadlens.operators import similarity as S
+    cleaned = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def clean(text):
+        cleaned.add(1)
+        return text.lower()
+    news = spark.createDataFrame([(str(i), f"Word{i % 5} shared thing") for i in range(30)], "news_id string, text string")
+    vec, vocab = S.tfidf(news.select("news_id", clean("text").alias("clean_text")), 50)
+    assert vec.select("news_id").distinct().count() == 30
+    assert {(r["term"], r["df"]) for r in vocab.collect()} >= {("shared", 30), ("shared thing", 30), ("word1", 6), ("word1 shared", 6)}
+    assert cleaned.value == 30
