@@ -65,3 +65,9 @@ def test_knn_blocks_hold_entries_and_not_the_whole_vocabulary():
     assert S.knn_blocks(256_410, 256_410 * 200, 12, 48 * 1024 * 1024) <= 16
     assert S.knn_blocks(10_000, 2_000_000, 12, 48 * 1024 * 1024) <= 9
     assert S.knn_blocks(1, 0, 12, 48 * 1024 * 1024) == 1
+
+
+def test_knn_row_without_a_vector_has_no_neighbours(spark):
+    df = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [1.0, 0.1]), ("c", None)], "news_id string, embedding array<double>")
+    got = {(r["src"], r["dst"]) for r in S.knn(S.dense_rows(df), 2, 5, 0.25).collect()}
+    assert got == {("a", "b"), ("b", "a")}
