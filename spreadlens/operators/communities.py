@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage, written
+from .buckets import BucketedTable
 from .components import contract
 
 
@@ -110,6 +111,31 @@ def adjacency(und: DataFrame) -> DataFrame:
             .unionAll(rows.where(~loop).select("graph", F.col("v").alias("a"), F.col("u").alias("b"), "w")))
 
 
+def _gains():
+    return (F.col("to") != F.col("c")) & (F.col("delta") > 0)
+
+
+def _state(adj: DataFrame, comm: DataFrame, gamma: float) -> DataFrame:
+    """(graph, a, c, k, two_m, big, w_cur, to, dw, delta): every vertex with its community's strength, its weight to it and its best move.
+
+    The strengths come with the communities, so the entries are read once, and are
+    not moved where they lie by ``a`` and the vertices can be broadcast.
+    """
+    total = comm.groupBy("graph", "c").agg(F.sum("k").alias("big"))
+    at = written(comm.join(total, ["graph", "c"]).select("graph", "a", "c", "k", "two_m", "big"), "communities")
+    to = at.select("graph", F.col("a").alias("b"), F.col("c").alias("to"), F.col("big").alias("big_to"))
+    w = (adj.where(F.col("a") != F.col("b")).join(to, ["graph", "b"]).groupBy("graph", "a", "to")
+         .agg(F.sum("w").alias("w"), F.max("big_to").alias("big_to")))
+    stays = F.col("to") == F.col("c")
+    near = at.join(w, ["graph", "a"], "left").groupBy("graph", "a", "c", "k", "two_m", "big").agg(
+        F.coalesce(F.max(F.when(stays, F.col("w"))), F.lit(0.0)).alias("w_cur"),
+        F.max_by(F.struct("to", "w", "big_to"), F.struct(
+            F.when(stays, F.lit(float("-inf"))).otherwise(F.col("two_m") * F.col("w") - gamma * F.col("k") * F.col("big_to")), -F.col("to"))).alias("m"))
+    dw = F.col("m.w") - F.col("w_cur")
+    return near.select("graph", "a", "c", "k", "two_m", "big", "w_cur", F.col("m.to").alias("to"), dw.alias("dw"),
+                       (F.col("two_m") * dw - gamma * F.col("k") * (F.col("m.big_to") - F.col("big") + F.col("k"))).alias("delta"))
+
+
 def best_moves(adj: DataFrame, comm: DataFrame, gamma: float = 1.0) -> DataFrame:
     """(graph, a, cur, to, k, dw, delta) for every vertex that gains by moving alone to a neighbour's community.
 
@@ -118,21 +144,11 @@ def best_moves(adj: DataFrame, comm: DataFrame, gamma: float = 1.0) -> DataFrame
     from none exactly below 2^53.  The largest gain counts, ties to the smallest
     community.
     """
-    to = comm.select("graph", F.col("a").alias("b"), F.col("c").alias("to"))
-    w = (adj.where(F.col("a") != F.col("b")).join(to, ["graph", "b"]).groupBy("graph", "a", "to").agg(F.sum("w").alias("w")))
-    total = comm.groupBy("graph", F.col("c").alias("to")).agg(F.sum("k").alias("big"))
-    each = (w.join(total, ["graph", "to"]).join(comm.withColumnRenamed("c", "cur"), ["graph", "a"])
-            .withColumn("stays", F.col("to") == F.col("cur")))
-    own = total.withColumnRenamed("to", "cur").withColumnRenamed("big", "big_cur")
-    near = each.groupBy("graph", "a", "cur", "k", "two_m").agg(
-        F.coalesce(F.max(F.when(F.col("stays"), F.col("w"))), F.lit(0.0)).alias("w_cur"),
-        F.max_by(F.struct("to", "w", "big"), F.struct(
-            F.when(F.col("stays"), F.lit(float("-inf"))).otherwise(F.col("two_m") * F.col("w") - gamma * F.col("k") * F.col("big")), -F.col("to"))).alias("m"))
-    dw = F.col("m.w") - F.col("w_cur")
-    return (near.join(own, ["graph", "cur"])
-            .select("graph", "a", "cur", F.col("m.to").alias("to"), "k", dw.alias("dw"),
-                    (F.col("two_m") * dw - gamma * F.col("k") * (F.col("m.big") - F.col("big_cur") + F.col("k"))).alias("delta"))
-            .where((F.col("to") != F.col("cur")) & (F.col("delta") > 0)))
+    return _moves(_state(adj, comm, gamma))
+
+
+def _moves(state: DataFrame) -> DataFrame:
+    return state.where(_gains()).select("graph", "a", F.col("c").alias("cur"), "to", "k", "dw", "delta")
 
 
 def _apart(adj: DataFrame, moves: DataFrame) -> DataFrame:
@@ -145,18 +161,16 @@ def _apart(adj: DataFrame, moves: DataFrame) -> DataFrame:
 
 
 def _moved(comm: DataFrame, moves: DataFrame) -> DataFrame:
-    return comm.join(moves.select("graph", "a", "to"), ["graph", "a"], "left").select("graph", "a", F.coalesce("to", "c").alias("c"), "k", "two_m")
+    return comm.select("graph", "a", "c", "k", "two_m").join(moves.select("graph", "a", "to"), ["graph", "a"], "left").select("graph", "a", F.coalesce("to", "c").alias("c"), "k", "two_m")
 
 
-def _quality(adj: DataFrame, comm: DataFrame, gamma: float) -> dict[str, float]:
-    """two_m^2 times the modularity of each graph: exact for whole weights and gamma = 1 below 2^53."""
-    inside = (adj.join(comm.select("graph", "a", F.col("c").alias("ca")), ["graph", "a"])
-              .join(comm.select("graph", F.col("a").alias("b"), F.col("c").alias("cb")), ["graph", "b"])
-              .where(F.col("ca") == F.col("cb")).select("graph", F.col("w").alias("inside"), F.lit(0.0).alias("square")))
-    big = comm.groupBy("graph", "c").agg(F.sum("k").alias("big")).select("graph", F.lit(0.0).alias("inside"), (F.col("big") * F.col("big")).alias("square"))
-    got = (inside.unionAll(big).groupBy("graph").agg(F.sum("inside").alias("inside"), F.sum("square").alias("square"))
-           .join(comm.groupBy("graph").agg(F.max("two_m").alias("two_m")), "graph").collect())  # a row for each graph
-    return {r["graph"]: r["two_m"] * r["inside"] - gamma * r["square"] for r in got}
+def _told(state: DataFrame, loops: dict[str, float], gamma: float) -> tuple[dict[str, float], set[str]]:
+    """two_m^2 times the modularity of each graph (exact for whole weights and gamma = 1 below 2^53), and the graphs
+    in which a vertex gains by moving; ``loops`` has the weight of each graph's self-loops."""
+    got = state.groupBy("graph").agg(F.max("two_m").alias("two_m"), F.sum("w_cur").alias("inside"), F.sum(F.col("k") * F.col("big")).alias("square"),
+                                     F.count_if(_gains()).alias("n")).collect()  # a row for each graph
+    return ({r["graph"]: r["two_m"] * (r["inside"] + loops.get(r["graph"], 0.0)) - gamma * r["square"] for r in got},
+            {r["graph"] for r in got if r["n"]})
 
 
 def _one_each(moves: DataFrame) -> DataFrame:
@@ -180,29 +194,35 @@ def settle(adj: DataFrame, comm: DataFrame, gamma: float = 1.0, seen=None) -> tu
     So modularity rises in every round, no partition comes twice and the rounds end
     by themselves.  ``seen`` is called with each round's quality per graph.
     """
-    quality, rounds = _quality(adj, comm, gamma), 0
+    loops = {r["graph"]: r["w"] for r in adj.where(F.col("a") == F.col("b")).groupBy("graph").agg(F.sum("w").alias("w")).collect()}
+    state = written(_state(adj, comm, gamma), "moves")
+    (quality, open_graphs), rounds = _told(state, loops, gamma), 0
     while True:
-        moves = cut_lineage(best_moves(adj, comm, gamma))
-        open_graphs = {r["graph"] for r in moves.select("graph").distinct().collect()}
         draw = F.pmod(F.xxhash64("a", F.lit(rounds)), F.lit(2)) == 0
         rounds += 1
-        chosen = None
-        for pick in (lambda m: m.where(draw), lambda m: _apart(adj, m), _one_each):
+        chosen, done, gaining = [], set(), set()
+        for pick in (lambda s: s.withColumn("c", F.when(_gains() & draw, F.col("to")).otherwise(F.col("c"))),
+                     lambda s: _moved(s, _apart(adj, _moves(s))), lambda s: _moved(s, _one_each(_moves(s)))):
             if not open_graphs:
                 break
-            some = pick(moves.where(F.col("graph").isin(sorted(open_graphs))))
-            after = written(_moved(comm, some), "communities")
-            better = {g: q for g, q in _quality(adj, after, gamma).items() if g in open_graphs and q > quality[g]}
+            here = state.where(F.col("graph").isin(sorted(open_graphs)))
+            after = written(_state(adj, pick(here).select("graph", "a", "c", "k", "two_m"), gamma), "moves")
+            told, more = _told(after, loops, gamma)
+            better = {g: q for g, q in told.items() if q > quality[g]}
             if better:
                 quality = quality | better
-                part = after.where(F.col("graph").isin(sorted(better)))
-                chosen = part if chosen is None else chosen.unionByName(part)
-                open_graphs -= set(better)
-        if chosen is None:
-            return comm, rounds > 1
-        done = [r["graph"] for r in chosen.select("graph").distinct().collect()]
-        rest = comm.where(~F.col("graph").isin(done))
-        comm = written(chosen.unionByName(rest), "communities") if len(done) < len(quality) else chosen
+                chosen.append(after.where(F.col("graph").isin(sorted(better))) if len(better) < len(told) else after)
+                done, gaining, open_graphs = done | set(better), gaining | (more & set(better)), open_graphs - set(better)
+        if not chosen:
+            return state.select("graph", "a", "c", "k", "two_m"), rounds > 1
+        if len(chosen) == 1 and len(done) == len(quality):
+            state = chosen[0]
+        else:
+            parts = state.where(~F.col("graph").isin(sorted(done)))
+            for part in chosen:
+                parts = parts.unionByName(part)
+            state = written(parts, "moves")
+        open_graphs |= gaining
         if seen:
             seen(quality)
 
@@ -244,7 +264,8 @@ def louvain(spark: SparkSession, nodes: DataFrame, und: DataFrame, gamma: float
     and no community gains by moving, and every community is connected.  There is no
     limit of rounds or levels.  A node without an edge is a community of its own.
     """
-    base = cut_lineage(adjacency(und))
+    entries = BucketedTable(adjacency(und), "entries", ["graph", "a"])
+    base = entries.read()
     part, first = None, True
     while True:
         comm, moved = settle(base, _with_strength(base, part), gamma, seen)
@@ -260,6 +281,7 @@ def louvain(spark: SparkSession, nodes: DataFrame, und: DataFrame, gamma: float
             up = written(connected_parts(adj, comm).select("graph", "a", "c"), "communities")
             part = written(part.withColumnRenamed("c", "v").join(up.withColumnRenamed("a", "v"), ["graph", "v"]).select("graph", "a", "c"), "communities")
             adj = _contracted(adj, up)
+    entries.drop()  # the parts are written
     member = (nodes.select("graph", "node_id").distinct().join(part.withColumnRenamed("a", "node_id"), ["graph", "node_id"], "left")
               .select("graph", "node_id", F.coalesce("c", "node_id").alias("vertex")))
     label = member.groupBy("graph", "vertex").agg(F.min("node_id").alias("community_id"))
