@@ -1,9 +1,13 @@
 """Graphs done in one task give what the rounds of jobs give."""
 import random
 
+import numpy as np
 import pytest
 
+from spreadlens.functions.hashing import MIX_MODULUS, coins_below, mix_unit_array
+from spreadlens.operators import cascades as C
 from spreadlens.operators import links as L
+from spreadlens.operators import reach
 
 
 def graphs(spark):
@@ -51,3 +55,36 @@ def test_no_end_is_an_error(spark):
     for f in (L.hits, L.pagerank):
         with pytest.raises(RuntimeError, match="dense.*did not converge in 2 rounds"):
             f(spark, nodes, edges, max_iter=2)
+
+
+def test_coins():
+    rng = np.random.default_rng(5)
+    a, b = rng.integers(0, 2 ** 32, (2, 100_000))
+    edge = np.concatenate([np.arange(50), MIX_MODULUS + np.arange(-50, 50), 2 ** 32 - 1 - np.arange(50)])
+    b[:len(edge)] = a[:len(edge)] ^ edge
+    for p in (0.0, 0.02, 0.1, 0.5, mix_unit_array(a[7:8], b[7:8])[0], 1.0, 1.5):
+        assert (coins_below(a.astype(np.uint32), b.astype(np.uint32), p) == (mix_unit_array(a, b) < p)).all()
+
+
+@pytest.mark.parametrize("which", ["icm", "lt"])
+def test_diffusion(spark, monkeypatch, which):
+    """Few articles and edges at a time, repeated and null edges and seeds, nodes that are not in the graph; fewer tables than steps."""
+    monkeypatch.setattr(reach, "PLACES", 100)
+    monkeypatch.setattr(reach, "TRIES", 5)
+    names = []
+    plain = C.written
+    monkeypatch.setattr(C, "written", lambda df, name: names.append(name) or plain(df, name))
+    rng = random.Random(4)
+    pairs = [(i, i + 1) for i in range(40, 49)] + [tuple(rng.sample(range(40), 2)) for _ in range(60)]
+    edges = spark.createDataFrame([*pairs, pairs[0], (None, 1), (1, None)], "src long, dst long")
+    nodes = spark.createDataFrame([(i,) for i in range(45)] + [(None,)], "node_id long")
+    first = [(f"a{i}", n) for i in range(30) for n in {i % 40, i * 3 % 40}] + [("chain", 40), ("outside", 99)]
+    seeds = spark.createDataFrame([*first, first[0], (None, 3), ("a1", None)], "article_id string, node_id long")
+    if which == "lt":
+        run = lambda **how: C.lt_activation(spark, edges, nodes, seeds, **how)
+    else:
+        run = lambda **how: C.icm_activation(spark, edges, seeds, p=0.6, max_steps=6, **how)
+    got = sorted(map(str, run(in_task=len(pairs) + 9).collect()))
+    assert len(names) < 4
+    want = sorted(map(str, run(in_task=3).collect()))
+    assert got == want and len(got) > len(first) + 30 and len(names) > 9
