@@ -8,15 +8,21 @@ another run until no vertex gains by moving, communities are split into
 connected parts and contracted into vertices (internal weight becomes a
 self-loop), and the next level starts.  Every round is a few joins and
 group-bys over the edge list; the driver sees one number per graph and round.
+Graphs whose pairs one task can hold take the same rounds there (see ``settled``).
 """
 from __future__ import annotations
 
+import functools
+import operator
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage, written
+from . import settled
 from .buckets import BucketedTable
 from .components import contract
+from .intask import fits
 
 
 def undirected(edges: DataFrame) -> DataFrame:
@@ -255,7 +261,8 @@ def _contracted(adj: DataFrame, part: DataFrame) -> DataFrame:
                    .groupBy("graph", F.col("ca").alias("a"), F.col("cb").alias("b")).agg(F.sum("w").alias("w")), "communities")
 
 
-def louvain(spark: SparkSession, nodes: DataFrame, und: DataFrame, gamma: float = 1.0, seen=None) -> DataFrame:
+def louvain(spark: SparkSession, nodes: DataFrame, und: DataFrame, gamma: float = 1.0, seen=None,
+            in_task: int = settled.PAIRS) -> DataFrame:
     """(graph, node_id, community_id); community ids are the smallest member id.
 
     The nodes settle, communities are split into connected parts and become the
@@ -263,7 +270,30 @@ def louvain(spark: SparkSession, nodes: DataFrame, und: DataFrame, gamma: float
     nodes settle anew from there, and all ends when none of them moves.  So no node
     and no community gains by moving, and every community is connected.  There is no
     limit of rounds or levels.  A node without an edge is a community of its own.
+    Graphs of at most ``in_task`` pairs are done in a task each, unless ``seen`` is
+    given (see ``settle``).
     """
+    part = _parts_in_tasks(und, gamma, in_task) if seen is None else None
+    if part is None:
+        part = _parts_in_rounds(und, gamma, seen)
+    member = (nodes.select("graph", "node_id").distinct().join(part.withColumnRenamed("a", "node_id"), ["graph", "node_id"], "left")
+              .select("graph", "node_id", F.coalesce("c", "node_id").alias("vertex")))
+    label = member.groupBy("graph", "vertex").agg(F.min("node_id").alias("community_id"))
+    return member.join(label, ["graph", "vertex"]).select("graph", "node_id", "community_id")
+
+
+def _parts_in_tasks(und: DataFrame, gamma: float, most: int) -> DataFrame | None:
+    """(graph, a, c) of the vertices of pairs that are long ids, none null; None if a graph is too large."""
+    if {und.schema[c].dataType.simpleString() for c in "uv"} != {"bigint"}:
+        return None
+    pairs = written(und.select("graph", "u", "v", *(F.col("w").cast("double") for _ in range("w" in und.columns))), "pairs")
+    unset = [pairs[c].isNull() for c in pairs.columns]
+    if not fits(pairs, most) or not pairs.where(functools.reduce(operator.or_, unset)).isEmpty():
+        return None
+    return written(pairs.groupBy("graph").applyInArrow(settled.in_task(gamma), "graph string, a long, c long"), "communities")
+
+
+def _parts_in_rounds(und: DataFrame, gamma: float, seen) -> DataFrame:
     entries = BucketedTable(adjacency(und), "entries", ["graph", "a"])
     base = entries.read()
     part, first = None, True
@@ -282,10 +312,7 @@ def louvain(spark: SparkSession, nodes: DataFrame, und: DataFrame, gamma: float
             part = written(part.withColumnRenamed("c", "v").join(up.withColumnRenamed("a", "v"), ["graph", "v"]).select("graph", "a", "c"), "communities")
             adj = _contracted(adj, up)
     entries.drop()  # the parts are written
-    member = (nodes.select("graph", "node_id").distinct().join(part.withColumnRenamed("a", "node_id"), ["graph", "node_id"], "left")
-              .select("graph", "node_id", F.coalesce("c", "node_id").alias("vertex")))
-    label = member.groupBy("graph", "vertex").agg(F.min("node_id").alias("community_id"))
-    return member.join(label, ["graph", "vertex"]).select("graph", "node_id", "community_id")
+    return part
 
 
 def label_propagation(nodes: DataFrame, und: DataFrame, rounds: int | None = None) -> DataFrame:

@@ -25,7 +25,7 @@ def components(spark, d):
 
 
 def louvain(spark, d, with_labels=False):
-    gn, und = und_graph(spark, d, with_labels)
+    gn, und = (written(df, "graphs") for df in und_graph(spark, d, with_labels))  # read by the communities and by what is told of them
     return gn, und, CM.louvain(spark, gn, und, RESOLUTION)
 
 

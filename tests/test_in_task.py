@@ -88,3 +88,32 @@ def test_diffusion(spark, monkeypatch, which):
     assert len(names) < 4
     want = sorted(map(str, run(in_task=3).collect()))
     assert got == want and len(got) > len(first) + 30 and len(names) > 9
+
+
+def test_draws(spark):
+    from pyspark.sql import functions as F
+
+    from spreadlens.operators import settled
+    ids = [0, 1, 7, -5, 2 ** 40 + 3, *range(100, 160)]
+    for number in (0, 3, 70_000):
+        rows = spark.createDataFrame([(i,) for i in ids], "a long").select("a", (F.pmod(F.xxhash64("a", F.lit(number)), F.lit(2)) == 0).alias("draw")).collect()
+        assert {r["a"]: r["draw"] for r in rows} == dict(zip(ids, settled.drawn(np.array(ids), number).tolist()))
+
+
+@pytest.mark.parametrize("weighted", [False, True])
+def test_communities(spark, monkeypatch, weighted):
+    """The rounds of jobs end in the same communities, loops, weights and lone nodes included; one task takes no rounds of jobs."""
+    from spreadlens.operators import communities as CM
+    rng = random.Random(6)
+    rows = [("a", i, j) for i in range(15) for j in range(i + (not weighted), 15) if rng.random() < (0.7 if i % 3 == j % 3 else 0.08)]
+    rows += [("b", i, i + 1) for i in range(4)] + [("c", 4, 4)] * weighted
+    und = spark.createDataFrame([(*r, 1.0 + i % 3) for i, r in enumerate(rows)], "graph string, u long, v long, w double")
+    und = und if weighted else und.drop("w")
+    nodes = spark.createDataFrame([(g, i) for g in "abc" for i in range(16)], "graph string, node_id long")
+    names = []
+    plain = CM.written
+    monkeypatch.setattr(CM, "written", lambda df, name: names.append(name) or plain(df, name))
+    got = sorted(map(tuple, CM.louvain(spark, nodes, und).collect()))
+    assert len(names) == 2
+    assert got == sorted(map(tuple, CM.louvain(spark, nodes, und, in_task=5).collect())) and len(names) > 9
+    assert len({c for g, _, c in got if g == "a"}) < 15
